@@ -40,11 +40,11 @@ def runs_table(
     preds: DataFrame, codes: CodeTable, dataset: str, timestamp: str, experiment: str = "", by: str = "model"
 ) -> DataFrame:
     """One run row per value of ``by`` in a table of predictions, scored in one pass over it."""
-    scores = metrics.per_language(preds, codes, [by])
-    hits = F.sum(F.round(F.col("recall") * F.col("support")))
+    scores = metrics.label_scores(metrics.pair_counts(preds, [by]), [by]).where("support > 0")
+    named = codes.with_name(scores.withColumnRenamed("label", LANG))
     ordered = F.array_sort(F.collect_list(F.struct(LANG, "name", "support", "recall", "precision", "f1")))
-    runs = scores.groupBy(F.col(by).alias("model")).agg(
-        metrics.ratio(hits, F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"),
+    runs = named.groupBy(F.col(by).alias("model")).agg(
+        metrics.ratio(F.sum("hits"), F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"),
         F.sum("support").alias("n"), F.count("*").alias("n_languages"), ordered.alias("per_language"),
     )
     run_id = F.concat_ws("_", "model", F.lit(dataset.replace("/", "_")), F.lit(timestamp))

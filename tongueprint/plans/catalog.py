@@ -94,7 +94,7 @@ PAGE_TAG = r"<[^>]*>"
 SQL_CODES = """
 codes(iso639_3, name, iso639_1, bcp47) AS (VALUES
   ('deu', 'German', 'de', 'de'), ('eng', 'English', 'en', 'en'), ('fra', 'French', 'fr', 'fr'),
-  ('ita', 'Italian', 'it', 'it'), ('spa', 'Spanish', 'es', 'es'), ('kab', 'Kabyle', NULL, 'kab'))
+  ('ita', 'Italian', 'it', 'it'), ('nor', 'Norwegian', 'no', 'no'), ('spa', 'Spanish', 'es', 'es'), ('kab', 'Kabyle', NULL, 'kab'))
 """
 SQL_DOCS = """
 docs AS (

@@ -171,7 +171,7 @@ turns AS (
   UNION ALL SELECT k, 0, 'user', 'Text:' || chr(10) || sentence || chr(10) || chr(10) || 'ISO 639-3 code:' FROM places
   UNION ALL SELECT k, 1, 'assistant', lang FROM places),
 fixed AS (SELECT row_number() OVER (ORDER BY k, part) - 1 AS place, role, content FROM turns)
-SELECT conv_id || '-' || turn AS row_id, CAST(place AS INTEGER) AS place, role, content FROM conversations, fixed
+SELECT conv_id || '-' || turn AS row_id, CAST(place AS INTEGER) AS place, fixed.role, content FROM conversations, fixed
 UNION ALL
 SELECT conv_id || '-' || turn, 7, 'user', 'Text:' || chr(10) || text || chr(10) || chr(10) || 'ISO 639-3 code:' FROM conversations
 """)

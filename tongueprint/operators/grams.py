@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from tongueprint.functions.hashing import GramSpec
 from tongueprint.functions.text import explode_grams, explode_tokens
 from tongueprint.operators.lookup import lookup_join
-from tongueprint.session import materialize
+from tongueprint.session import cluster, materialize
 from tongueprint.sources.corpus import TEXT
 
 
 def gram_counts(df: DataFrame, spec: GramSpec, keys: Sequence[str], text_col: str = TEXT) -> DataFrame:
-    """``(keys, feature, tf)``: how often each feature occurs under each key.
+    """``(keys, feature, tf)``: the feature matrix of a corpus in long form. ``keys`` starts with the row id.
 
-    With a row key this is the feature matrix of the corpus in long form.
+    Texts are clustered by row id before they unfold, so the counts themselves are never shuffled.
     """
-    grams = explode_grams(explode_tokens(df, text_col, keys), spec.lo, spec.hi, keys)
+    rows = cluster(df.select(*keys, text_col), keys[0])
+    grams = explode_grams(explode_tokens(rows, text_col, keys), spec.lo, spec.hi, keys)
     return grams.groupBy(*keys, spec.feature(F.col("gram")).alias("feature")).agg(F.count("*").alias("tf"))
 
 

@@ -344,11 +344,11 @@ def pandas_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(PythonScorer(_marker_words, "markers").predict(documents(spark, sf_dir)), "confidence")
 
 
-def _landed(spark: SparkSession, rows: DataFrame, files: int = 4) -> tuple[DataFrame, str]:
-    """The rows as files in a new folder of the shared storage, and a stream that takes one per batch."""
+def _landed(spark: SparkSession, rows: DataFrame, batches: int = 4, files: int = 8) -> tuple[DataFrame, str]:
+    """The rows as files in a new folder of the shared storage, and a stream that takes some per batch."""
     folder = f"{shared_dir(spark)}/tongueprint/stream-{uuid.uuid4().hex}"
-    rows.repartition(files, "row_id").write.parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+    rows.repartition(batches * files, "row_id").write.parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"), folder
 
 
 @query("stream_nb_counts", f"WITH {SQL_DOCS}, {sql_counts('m', 'docs', HASHED)} SELECT lang, feature, n FROM m_counts")

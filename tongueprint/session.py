@@ -61,3 +61,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= wanted:
         return df
     return df.repartition(wanted, *keys)
+
+
+def cluster(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle rows by key ahead of a step that multiplies them and groups them by the same key.
+
+    Moving a text once is far cheaper than moving all of its n-grams; the grouping then needs no shuffle.
+    The count is explicit, as adaptive coalescing would size partitions by the text alone.
+    """
+    spark = df.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(wanted, *keys)

@@ -52,13 +52,15 @@ class CodeTable:
 
     @cached_property
     def aliases(self) -> dict[str, str]:
-        """Lower-cased two-letter code, tag or name to code (first row wins), then the codes themselves."""
+        """Lower-cased spelling to code: two-letter codes, then names, then tags and the codes themselves.
+
+        The order matters: ``ga`` is Irish although another language is named Ga.
+        """
         index: dict[str, str] = {}
-        for iso3, name, iso1, tag in self.rows:
-            for key in filter(None, (iso1, tag, name)):
-                index.setdefault(key.lower(), iso3)
-        for iso3 in self.exact:
-            index.setdefault(iso3.lower(), iso3)
+        for column in (2, 1, 3, 0):
+            for row in self.rows:
+                if row[column]:
+                    index.setdefault(row[column].lower(), row[0])
         return index
 
     def frame(self, spark: SparkSession) -> DataFrame:

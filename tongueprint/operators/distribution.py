@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tongueprint.sources.corpus import LANG, TEXT
@@ -26,19 +26,16 @@ def compare_distributions(first: DataFrame, second: DataFrame, names: tuple[str,
         second.select(LANG, F.lit(0).cast("bigint").alias("a"), F.col("rows").alias("b"))
     )
     counts = tagged.groupBy(LANG).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # One total row over the (few) languages, carried by the same grouping instead of a join.
-    sums = counts.groupingSets([[LANG], []], LANG).agg(
-        F.grouping(LANG).alias("_total"), F.sum("a").alias("a"), F.sum("b").alias("b")
-    )
-    totals = sums.where("_total = 1").select(F.struct("a", "b").alias("_all"), F.lit(0).alias("_one"))
-    parts = sums.where("_total = 0").withColumn("_one", F.lit(0)).join(F.broadcast(totals), "_one")
-    share_a = F.try_divide("a", "_all.a")
-    share_b = F.try_divide("b", "_all.b")
+    # Totals over one row per language: a window of a few hundred rows, and the corpora are read once.
+    everything = Window.partitionBy(F.lit(0))
+    share_a = F.try_divide("a", F.sum("a").over(everything))
+    share_b = F.try_divide("b", F.sum("b").over(everything))
+    parts = counts.select(LANG, "a", "b", share_a.alias("fa"), share_b.alias("fb"))
     long = parts.select(
-        LANG, (share_a + share_b).alias("both"),
+        LANG, (F.col("fa") + F.col("fb")).alias("both"),
         F.inline(F.array(
-            F.struct(F.lit(names[0]).alias("dataset"), F.col("a").alias("rows"), share_a.alias("frequency")),
-            F.struct(F.lit(names[1]).alias("dataset"), F.col("b").alias("rows"), share_b.alias("frequency")),
+            F.struct(F.lit(names[0]).alias("dataset"), F.col("a").alias("rows"), F.col("fa").alias("frequency")),
+            F.struct(F.lit(names[1]).alias("dataset"), F.col("b").alias("rows"), F.col("fb").alias("frequency")),
         )),
     )
     return long.orderBy(F.desc("both"), LANG, "dataset")

@@ -69,16 +69,19 @@ def rank_segments(
     Sizes are cumulative ranks within the group. Rows whose group is null are dropped.
     """
     cuts = rank_cuts(df, sizes, seed, salt, id_col, group)
+    names = [f"_cut{i}" for i in range(len(sizes))]
+    if group:
+        ready = df.join(F.broadcast(cuts), list(group), "left")
+        for name in group:
+            ready = ready.where(F.col(name).isNotNull())
+        ready = ready.withColumn("_cuts", F.struct(*names))
+    else:
+        ready = df.withColumn("_cuts", cuts.select(F.struct(*names)).scalar())
     point = F.struct(shuffle_key(seed, salt, id_col).alias("_key"), F.col(id_col).alias("_id"))
-    spare = [] if group else ["_all"]
-    base = df if group else df.withColumn("_all", F.lit(0))
-    joined = base.join(F.broadcast(cuts), list(group) or spare, "left")
-    for name in group:
-        joined = joined.where(F.col(name).isNotNull())
     segment = F.lit(len(sizes))
     for i in range(len(sizes) - 1, -1, -1):
-        segment = F.when(F.coalesce(point <= F.col(f"_cut{i}"), F.lit(False)), F.lit(i)).otherwise(segment)
-    return joined.withColumn("segment", segment).drop(*spare, *[f"_cut{i}" for i in range(len(sizes))])
+        segment = F.when(F.coalesce(point <= F.col(f"_cuts._cut{i}"), F.lit(False)), F.lit(i)).otherwise(segment)
+    return ready.withColumn("segment", segment).drop("_cuts", *names)
 
 
 def take_ranked(

@@ -46,8 +46,11 @@ def evaluate_job(
 
     Demonstrations leave before sampling, so none can be evaluated on. ``n=0`` uses every row.
     """
-    picked = materialize(sampling.fewshot_pick(corpus, shot, seed, id_col), "demonstrations")
-    rows = sampling.hold_out(corpus, picked, id_col) if shot > 0 else corpus
+    if shot > 0:
+        picked = materialize(sampling.fewshot_pick(corpus, shot, seed, id_col), "demonstrations")
+        rows = sampling.hold_out(corpus, picked, id_col)
+    else:
+        picked, rows = corpus.limit(0), corpus
     if n > 0:
         rows = sampling.sample_per_language(rows, n, codes, languages, seed, id_col)
     elif languages is not None:

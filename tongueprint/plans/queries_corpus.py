@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tongueprint.functions.hashing import shuffle_key
+from tongueprint.functions.hashing import key_fraction, shuffle_key
 from tongueprint.functions.text import LINE_BREAK, NOT_WHITESPACE, WHITESPACE_CHARS, explode_lines, one_line
 from tongueprint.operators import distribution, metrics, prompts, sampling
 from tongueprint.plans.catalog import (
-    SQL_CODES, SQL_DOCS, SQL_PAGES, codes_of, conversation_turns, documents, labels_only, query, sql_hex, sql_key, table, web_pages,
+    SQL_CODES, SQL_DOCS, SQL_PAGES, codes_of, sql_fraction, conversation_turns, documents, labels_only, query, sql_hex, sql_key, table, web_pages,
 )
+from tongueprint.session import shared_dir
 from tongueprint.sources.codes import display_label
-from tongueprint.sources.corpus import LANG, TEXT, constant_corpus
+from tongueprint.sources.corpus import (
+    LANG, TEXT, constant_corpus, custom_corpus, number_copies, read_histogram, read_lines, read_single_language, read_table, read_training, write_corpus,
+)
 
 _FORMS = 12
 
@@ -292,3 +297,87 @@ SELECT sentence, lang FROM docs UNION ALL SELECT text, 'lad' FROM conversations
 def augment_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     addition = constant_corpus(table(spark, sf_dir, "conversations", "text"), codes_of(spark), "lad", "text")
     return distribution.augment(documents(spark, sf_dir), addition)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the shared storage, for queries that write and read back."""
+    return f"{shared_dir(spark)}/tongueprint/files-{uuid.uuid4().hex}"
+
+
+_SQL_LINES = rf"""
+lines AS (
+  SELECT doc_id || '-' || line_no AS row_id, sentence, lang, {sql_fraction(sql_key(8, 'part', "doc_id || '-' || line_no"))} AS u FROM (
+    SELECT doc_id, lang, unnest(lines) AS sentence, unnest(range(0, len(lines))) AS line_no
+    FROM (SELECT doc_id, lang, regexp_split_to_array(text, '{LINE_BREAK}') AS lines FROM documents))
+  WHERE regexp_matches(sentence, '{NOT_WHITESPACE}'))
+"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-blank lines of all documents: ``(row_id, sentence, lang)``, labels as stored."""
+    raw = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    lines = sampling.drop_blank(explode_lines(raw, "text", TEXT, ["doc_id", LANG]))
+    return lines.select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("line_no").cast("string")).alias("row_id"), TEXT, LANG)
+
+
+@query("tsv_split_sample", f"""
+WITH {_SQL_LINES}, parts AS (SELECT *, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'dev' ELSE 'test' END AS split FROM lines)
+SELECT row_id, sentence, CASE lang WHEN 'de' THEN 'deu' WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' ELSE 'spa' END AS lang FROM parts
+WHERE split = 'train' AND {sql_fraction(sql_key(42, 'fraction'))} < 0.15
+""")
+def tsv_split_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delimited corpus read in one pass, sampled, written by split, and its training part read back."""
+    folder = _folder(spark)
+    u = key_fraction(shuffle_key(8, "part", "row_id"))
+    split = F.when(u < 0.7, F.lit("train")).when(u < 0.85, F.lit("dev")).otherwise(F.lit("test"))
+    whole = _lines(spark, sf_dir).withColumn("split", split)
+    plain = {"sep": "\t", "quote": "", "escape": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    whole.write.csv(f"{folder}/all", header=True, **plain)
+    rows = read_table(spark, f"{folder}/all", "tsv", "row_id string, sentence string, lang string, split string", escape="")
+    write_corpus(sampling.split_fraction(rows), f"{folder}/sampled")
+    return read_training(spark, f"{folder}/sampled", codes_of(spark), "train").select("row_id", TEXT, LANG)
+
+
+@query("text_folder_lines", f"""
+WITH {_SQL_LINES} SELECT sentence, 'spa' AS lang, count(*) AS copies FROM lines GROUP BY sentence
+""")
+def text_folder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a folder of text files, each with its own id, copies included."""
+    folder = _folder(spark)
+    _lines(spark, sf_dir).select(TEXT).write.text(folder)
+    lines = number_copies(read_lines(spark, folder, codes_of(spark), "Spanish"))
+    return lines.groupBy(TEXT, LANG).agg(F.count_distinct("row_id").alias("copies"))
+
+
+@query("raw_lines_with_blanks", rf"""
+SELECT CAST(len(regexp_split_to_array(text, '{LINE_BREAK}')) AS BIGINT) AS lines, doc_id AS row_id FROM documents
+""")
+def raw_lines_with_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each text with blank ones kept."""
+    raw = table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("doc_id", "row_id")
+    return explode_lines(raw, "text", TEXT, ["row_id"]).groupBy("row_id").agg(F.count("*").alias("lines"))
+
+
+@query("single_column_source", "SELECT text AS sentence, 'lad' AS lang FROM conversations")
+def single_column_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text column of a table with another name, as a corpus of one language."""
+    folder = _folder(spark)
+    table(spark, sf_dir, "conversations").select(F.col("text").alias("Ladino")).write.json(folder)
+    return read_single_language(spark, folder, codes_of(spark), "lad", "Ladino", "json", schema="Ladino string").select(TEXT, LANG)
+
+
+@query("language_histogram", """
+SELECT CASE lang WHEN 'de' THEN 'deu' WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' ELSE 'spa' END AS lang, count(*) AS rows FROM documents GROUP BY 1
+""")
+def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A histogram file with a header, written from the corpus and read back."""
+    folder = _folder(spark)
+    counts = table(spark, sf_dir, "documents", "lang").groupBy(LANG).agg(F.count("*").alias(TEXT))
+    counts.coalesce(1).write.csv(folder, header=True)
+    return distribution.merge_histogram(codes_of(spark).normalize(read_histogram(spark, folder), LANG))
+
+
+@query("own_loader", f"WITH {SQL_PAGES} SELECT page_id AS row_id, c.lang FROM pages p JOIN page_docs c ON c.row_id = p.page_id")
+def own_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's loader for a format of its own: pages labelled by their markup."""
+    return custom_corpus(lambda s: web_pages(s, sf_dir), spark, codes_of(spark)).select("row_id", LANG)

@@ -263,3 +263,45 @@ def saved_run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/tongueprint/results-{uuid.uuid4().hex}"
     run_store.save_runs(root, _runs(spark, sf_dir))
     return run_store.discover_runs(run_store.read_runs(spark, root))
+
+
+@query("json_runs", f"{_RUNS} {_OVERVIEW}")
+def json_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs exported as JSON records, one folder each, and loaded from there."""
+    root = f"{shared_dir(spark)}/tongueprint/results-{uuid.uuid4().hex}"
+    table = _runs(spark, sf_dir)
+    for model in NOISE_MODELS:
+        run_store.export_run_json(table, root, run_store.make_run_id(model, "docs/all", _STAMP))
+    return rounded(compare.overview(run_store.read_json_runs(spark, root)), "accuracy", "macro_f1")
+
+
+@query("run_log", f"{_RUNS} SELECT run_id, model, dataset, '{_STAMP}' AS timestamp, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, n, n_languages FROM runs")
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tongueprint/log-{uuid.uuid4().hex}"
+    run_store.append_run_log(_runs(spark, sf_dir), path)
+    return rounded(run_store.read_run_log(spark, path), "accuracy", "macro_f1")
+
+
+@query("comparison_table", f"""
+{_RUNS} SELECT name, lang, max(support) AS support,
+  {', '.join(f"round(avg(precision) FILTER (model = '{m}'), 6) AS {m}" for m in NOISE_MODELS)} FROM long GROUP BY ALL
+""")
+def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A per-language comparison written as CSV and read back."""
+    path = f"{shared_dir(spark)}/tongueprint/table-{uuid.uuid4().hex}"
+    pivot = compare.per_language_pivot(compare.per_language_long(_runs(spark, sf_dir)), list(NOISE_MODELS), "precision")
+    run_store.write_table(pivot, path)
+    columns = ", ".join(f"{m} double" for m in NOISE_MODELS)
+    return rounded(spark.read.csv(path, header=True, schema=f"name string, lang string, support bigint, {columns}"), *NOISE_MODELS)
+
+
+@query("gold_counts", f"WITH {SQL_DOCS} SELECT lang, count(*) AS support FROM docs GROUP BY lang")
+def gold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.gold_counts(labels_only(spark, sf_dir))
+
+
+@query("aligned_predictions", f"WITH {SQL_NOISY} SELECT row_id, lang, pred FROM preds")
+def aligned_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions made elsewhere put back on their rows, 1:1 or not at all."""
+    elsewhere = noisy_predictions(spark, sf_dir).select("row_id", "pred")
+    return compare.aligned(labels_only(spark, sf_dir), elsewhere)

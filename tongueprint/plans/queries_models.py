@@ -303,7 +303,7 @@ def logreg_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("svm_detector")
 def svm_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, scores = jobs.train_detector(french_detector_data(spark, sf_dir), codes_of(spark), "linear_svm")
+    _, scores = jobs.train_detector(french_detector_data(spark, sf_dir), codes_of(spark), "linear_svm", max_iter=20)
     return rounded(scores, "precision", "recall", "f1", "accuracy", digits=3)
 
 
@@ -366,3 +366,24 @@ def stream_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, folder = _landed(spark, test)
     incremental.label_stream(stream, model, f"{folder}/out", f"{folder}/offsets").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("row_id", LANG, "pred")
+
+
+@query("evaluate_job", f"""
+WITH {SQL_DOCS}, {SQL_PAGES}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {sql_key(4, 'fewshot')}, row_id) AS rn, {sql_key(4, 'fewshot')} AS h FROM docs),
+demos AS (SELECT row_id FROM ranked ORDER BY rn > 1, h, row_id LIMIT 5),
+pool AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {sql_key(4, 'sample')}, row_id) AS k FROM docs
+  WHERE lang IN ('fra', 'deu', 'eng') AND row_id NOT IN (SELECT row_id FROM demos)),
+chosen AS (SELECT row_id, sentence, lang FROM pool WHERE k <= 50),
+{sql_counts('m', 'page_docs', HASHED)}, {sql_predict('m', 'chosen', HASHED)}
+{sql_overall('m_preds', 'charngram-nb')}
+""")
+def evaluate_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hold out demonstrations, sample per language, score a model made from the pages, save, and report."""
+    model = naive_bayes.fit(web_pages(spark, sf_dir), HASHED, name="charngram-nb")
+    root = f"{shared_dir(spark)}/tongueprint/results-{uuid.uuid4().hex}"
+    result, _ = jobs.evaluate_job(
+        documents(spark, sf_dir), model, codes_of(spark), "documents", root, n=50, shot=5, languages="French, de, eng", seed=4
+    )
+    return rounded(result.overall, "accuracy", "macro_f1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tongueprint.functions.hashing import GramSpec
@@ -42,15 +42,16 @@ def tfidf(
     """``(id, feature, tf, weight)``: tf * (ln((1 + rows) / (1 + df)) + 1), each row scaled to length 1.
 
     Features found in fewer than ``min_df`` rows are dropped. A row without features gives nothing.
+
+    Texts are cut twice, once to count rows per feature and once to weight: the counts of a corpus take
+    several times its own size, so reading the texts again beats storing them. In the second pass all
+    of a row stays in its task, and the scaling needs no further shuffle.
     """
-    counts = materialize(gram_counts(df, spec, [id_col], text_col), "tf")
     rows = df.count()
-    idf = (
-        counts.groupBy("feature").agg(F.count("*").alias("_df")).where(F.col("_df") >= min_df)
-        .select("feature", (F.log(F.lit(1.0 + rows) / (F.col("_df") + 1)) + 1).alias("_idf"))
-    )
-    weighted = lookup_join(counts, materialize(idf, "idf"), "feature", id_col, "inner").withColumn(
-        "_raw", F.col("tf") * F.col("_idf")
-    )
-    norms = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
-    return weighted.join(norms, id_col).select(id_col, "feature", "tf", (F.col("_raw") / F.col("_norm")).alias("weight"))
+    seen = gram_counts(df, spec, [id_col], text_col).groupBy("feature").agg(F.count("*").alias("_df"))
+    idf = (F.log(F.lit(1.0 + rows) / (F.col("_df") + 1)) + 1).alias("_idf")
+    kept = materialize(seen.where(F.col("_df") >= min_df).select("feature", idf), "idf")
+    raw = (F.col("tf") * F.col("_idf")).alias("_raw")
+    weighted = lookup_join(gram_counts(df, spec, [id_col], text_col), kept, "feature", id_col, "inner")
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(id_col)))
+    return weighted.select(id_col, "feature", "tf", raw).select(id_col, "feature", "tf", (F.col("_raw") / norm).alias("weight"))

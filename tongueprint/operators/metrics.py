@@ -187,7 +187,11 @@ def confusions_of(pairs: DataFrame, language: str, top_n: int = 10) -> DataFrame
 
 
 def batch_diagnosis(pairs: DataFrame, n_worst: int = 5, min_support: int = 50, top_n: int = 5) -> DataFrame:
-    """The most frequent predictions for each of the worst languages, in one job."""
+    """The most frequent predictions for each of the worst languages, in one job.
+
+    The pairs are used twice, so they are written first: a row per pair, instead of two scans of predictions.
+    """
+    pairs = materialize(pairs, "pairs")
     worst = worst_languages(pairs, n_worst, min_support).select("rank", LANG)
     shares = _shares(pairs.join(F.broadcast(worst), LANG))
     place = F.row_number().over(Window.partitionBy(LANG).orderBy(F.desc("n"), "pred"))

@@ -11,7 +11,7 @@ from tongueprint.operators import compare, metrics
 from tongueprint.plans.catalog import (
     NOISE_MODELS, SQL_DOCS, SQL_LABEL_SCORES, SQL_NOISY, codes_of, labels_only, noisy_label, noisy_predictions, query, rounded, sql_noise,
 )
-from tongueprint.session import shared_dir
+from tongueprint.session import materialize, shared_dir
 from tongueprint.sources import runs as run_store
 from tongueprint.sources.corpus import LANG
 
@@ -149,7 +149,8 @@ def _stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_store.runs_table(_stacked(spark, sf_dir), codes_of(spark), "docs/all", _STAMP, "noise")
+    """The scored runs, one row each, written once as stored runs are."""
+    return materialize(run_store.runs_table(_stacked(spark, sf_dir), codes_of(spark), "docs/all", _STAMP, "noise"), "runs")
 
 
 _SQL_STACKED = " UNION ALL ".join(f"SELECT row_id, lang, '{m}' AS model, {sql_noise(m, keep)} AS pred FROM docs" for m, keep in NOISE_MODELS.items())

@@ -64,7 +64,7 @@ class CodeTable:
         return index
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), SCHEMA)
+        return spark.createDataFrame(list(self.rows), SCHEMA).coalesce(1)
 
     def resolve(self, value: str | None) -> str:
         """ISO-639-3 code of one literal given by the caller; columns go through ``normalize``."""
@@ -89,7 +89,8 @@ class CodeTable:
         head = F.substring_index(lowered, "-", 1)
 
         def lookup(pairs: dict[str, str], step: str) -> DataFrame:
-            return F.broadcast(spark.createDataFrame(list(pairs.items()), f"_key{step} string, _hit{step} string"))
+            table = spark.createDataFrame(list(pairs.items()), f"_key{step} string, _hit{step} string")
+            return F.broadcast(table.coalesce(1))
 
         joined = (
             df.withColumn("_bare", bare)

@@ -13,7 +13,7 @@ from tongueprint.operators.scorers import ProfileDetector
 ROWS = "row_id int, lang string, sentence string"
 TRAIN = [(1, "eng", "the cat"), (2, "eng", "a cat"), (3, "spa", "el gato")]
 TEST = [(1, "x", "the gato"), (2, "x", "a cat"), (3, "x", "xyz"), (4, "x", ""), (5, "x", None)]
-SHAPES = [(80, BROADCAST_LIMIT), (80, 0), (0, BROADCAST_LIMIT), (0, 0)]
+SHAPES = [(80, BROADCAST_LIMIT), (80, 0), (1, BROADCAST_LIMIT), (1, 0)]
 
 
 @pytest.fixture(scope="module")
@@ -21,10 +21,10 @@ def small(spark):
     return spark.createDataFrame(TRAIN, ROWS), spark.createDataFrame(TEST, ROWS)
 
 
-@pytest.mark.parametrize("wide, limit", SHAPES)
-def test_hashed_by_hand(small, wide, limit):
+@pytest.mark.parametrize("block, limit", SHAPES)
+def test_hashed_by_hand(small, block, limit):
     model = naive_bayes.fit(small[0], GramSpec())
-    out = {r["row_id"]: r for r in model.predict(small[1], with_scores=True, wide_labels=wide, broadcast_limit=limit).collect()}
+    out = {r["row_id"]: r for r in model.predict(small[1], with_scores=True, label_block=block, broadcast_limit=limit).collect()}
     scores = {i: {s["label"]: s["score"] for s in r["scores"]} for i, r in out.items()}
     assert scores[1] == pytest.approx({"eng": -215.814671, "spa": -207.870503}, abs=1e-5)
     assert scores[2] == pytest.approx({"eng": -88.6867, "spa": -146.285399}, abs=1e-5)
@@ -34,10 +34,10 @@ def test_hashed_by_hand(small, wide, limit):
     assert all(r["raw_output"] == r["pred"] and r["lang"] == "x" for r in out.values())
 
 
-@pytest.mark.parametrize("wide, limit", SHAPES)
-def test_vocabulary_by_hand(small, wide, limit):
+@pytest.mark.parametrize("block, limit", SHAPES)
+def test_vocabulary_by_hand(small, block, limit):
     model = naive_bayes.fit(small[0], GramSpec(buckets=None))
-    out = {r["row_id"]: r for r in model.predict(small[1], with_scores=True, wide_labels=wide, broadcast_limit=limit).collect()}
+    out = {r["row_id"]: r for r in model.predict(small[1], with_scores=True, label_block=block, broadcast_limit=limit).collect()}
     scores = {i: {s["label"]: s["score"] for s in r["scores"]} for i, r in out.items()}
     assert scores[1] == pytest.approx({"eng": -121.964124, "spa": -103.562265}, abs=1e-5)
     assert scores[2] == pytest.approx({"eng": -35.057816, "spa": -86.680691}, abs=1e-5)
@@ -49,15 +49,15 @@ def test_class_totals(small):
     assert totals == {"eng": (2, 30, 21), "spa": (1, 18, 18)}
 
 
-@pytest.mark.parametrize("wide", [200, 10])
-def test_many_labels_match_plain_python(spark, wide):
-    """120 labels of random words against the formulas written out, in both shapes."""
+@pytest.mark.parametrize("block", [200, 50])
+def test_many_labels_match_plain_python(spark, block):
+    """120 labels of random words against the formulas written out, in one block and in three."""
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 6))) for _ in range(300)]
     train = [(i, f"l{i % 120:03d}", " ".join(rng.choices(words, k=5))) for i in range(360)]
     test = [(i, "?", " ".join(rng.choices(words + ["zzz"], k=4))) for i in range(40)]
     model = naive_bayes.fit(spark.createDataFrame(train, ROWS), GramSpec(buckets=None), alpha=0.1)
-    out = model.predict(spark.createDataFrame(test, ROWS), wide_labels=wide, with_scores=True).collect()
+    out = model.predict(spark.createDataFrame(test, ROWS), label_block=block, with_scores=True).collect()
 
     counts, rows = {}, {}
     for _, lang, text in train:

@@ -10,19 +10,25 @@ SALTS = 32
 
 
 def lookup_join(
-    left: DataFrame, values: DataFrame, key: str, spread_by: str, how: str = "left",
-    limit: int = BROADCAST_LIMIT, row_bytes: int | None = None,
+    left: DataFrame, values: DataFrame, key: str, spread_by: str, how: str = "left", limit: int = BROADCAST_LIMIT
 ) -> DataFrame:
-    """Join ``left`` to a table with one or a few rows per ``key``.
+    """Join ``left`` to a materialised table with one row per ``key``.
 
-    ``values`` should be materialised: its rows are counted, and it is broadcast only while
-    rows x row size stays under ``limit``. Past that, both sides shuffle on the key and a salt taken from
-    ``spread_by``: a feature that occurs in nearly every text then spreads over many tasks, at the
-    price of ``SALTS`` copies of the value table.
+    Its rows are counted, and it is broadcast only while rows x row size stays under ``limit``; past
+    that the join is salted.
     """
-    width = row_bytes or 48 + 16 * len(values.columns)
+    width = 48 + 16 * len(values.columns)
     if values.count() * width <= limit:
         return left.join(F.broadcast(values), key, how)
+    return salted_join(left, values, key, spread_by, how)
+
+
+def salted_join(left: DataFrame, values: DataFrame, key: str, spread_by: str, how: str = "left") -> DataFrame:
+    """Shuffle both sides on the key and a salt taken from ``spread_by``.
+
+    A feature that occurs in nearly every text spreads over many tasks, at the price of ``SALTS``
+    copies of the value table.
+    """
     salted = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(F.col(spread_by)), F.lit(SALTS)).cast("int")
     return left.withColumn("_salt", salt).join(salted, [key, "_salt"], how).drop("_salt")

@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from tongueprint.functions.hashing import GramSpec
 from tongueprint.functions.text import explode_grams, explode_tokens
 from tongueprint.operators.grams import label_gram_counts
-from tongueprint.operators.lookup import BROADCAST_LIMIT, lookup_join
-from tongueprint.session import materialize
+from tongueprint.operators.lookup import BROADCAST_LIMIT, salted_join
+from tongueprint.session import cluster, materialize
 from tongueprint.sources.corpus import LANG, TEXT
 
-# Up to this many labels, scores are columns (one row per text, inside generated code); beyond, rows.
-WIDE_LABELS = 80
+# Labels scored together: their sums are columns of one aggregation, few enough for generated code.
+LABEL_BLOCK = 80
 MAX_LABELS = 20_000
 
 
@@ -73,86 +73,85 @@ class NaiveBayesModel:
 
     def predict(
         self, df: DataFrame, id_col: str = "row_id", keep: Sequence[str] = (LANG,), text_col: str = TEXT,
-        with_scores: bool = False, wide_labels: int = WIDE_LABELS, broadcast_limit: int = BROADCAST_LIMIT,
+        with_scores: bool = False, label_block: int = LABEL_BLOCK, broadcast_limit: int = BROADCAST_LIMIT,
     ) -> DataFrame:
         """``(id, keep..., pred, confidence, raw_output)`` for every row, empty texts included.
 
         ``keep`` columns ride along as grouping keys, so no join back is needed to score predictions.
-        Equal scores (to 6 decimals) go to the smaller label. The only shuffle is one small row
-        per text, and none at all when ``df`` is partitioned by the id already.
+        Equal scores (to 6 decimals) go to the smaller label. Labels are scored in blocks, each a pass
+        over the texts with a gain table small enough to broadcast; a block leaves one small row per text
+        (its best label and its share of the softmax), which is all that is shuffled.
         """
         constants = self.constants()
         keys = [id_col, *keep]
-        tokens = explode_tokens(df, text_col, keys, outer=True)
-        grams = explode_grams(tokens, self.spec.lo, self.spec.hi, keys, outer=True)
-        features = grams.select(*keys, self.spec.feature(F.col("gram")).alias("feature"))
-        shape = self._scores_wide if len(constants) <= wide_labels else self._scores_long
-        scored = shape(features, keys, constants, broadcast_limit)
-        return scored.select(*keys, *_decide(F.col("scores")), *(["scores"] if with_scores else []))
+        blocks = [constants[i:i + label_block] for i in range(0, len(constants), label_block)]
+        parts = [
+            self._block_scores(df, keys, text_col, block, broadcast_limit)
+            .select(*keys, *_decide(F.col("scores")), *(["scores"] if with_scores else []))
+            for block in blocks
+        ]
+        best = parts[0]
+        if len(parts) > 1:
+            for part in parts[1:]:
+                best = best.unionByName(part)
+            best = _best_of_blocks(best, keys, with_scores)
+        pred = F.col("_best.label")
+        return best.select(
+            *keys, pred.alias("pred"), (F.exp(F.col("_best.score") - F.col("_top")) / F.col("_mass")).alias("confidence"),
+            pred.alias("raw_output"), *(["scores"] if with_scores else []),
+        )
 
     def score_table(self, df: DataFrame, id_col: str = "row_id", text_col: str = TEXT) -> DataFrame:
         """``(id, lang, score)``: the joint log-likelihood of every label for every row."""
         scored = self.predict(df, id_col, (), text_col, with_scores=True)
         return scored.select(id_col, F.inline("scores")).withColumnsRenamed({"label": LANG})
 
-    def _scores_wide(
-        self, features: DataFrame, keys: list[str], constants: list[LabelConstants], limit: int
+    def _features(self, df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+        """One row per n-gram; a text without any keeps one row, with a null feature."""
+        tokens = explode_tokens(df, text_col, keys, outer=True)
+        grams = explode_grams(tokens, self.spec.lo, self.spec.hi, keys, outer=True)
+        return grams.select(*keys, self.spec.feature(F.col("gram")).alias("feature"))
+
+    def _block_scores(
+        self, df: DataFrame, keys: list[str], text_col: str, block: list[LabelConstants], limit: int
     ) -> DataFrame:
+        """``(keys, scores)`` with the scores of a block of labels as ``array<struct<label, score>>``.
+
+        Every counted feature is in the gain table, whether or not a label of this block has it, so the
+        join also tells which n-grams are known.
+        """
+        own = {c.label: f"g{i}" for i, c in enumerate(block)}
         gains = materialize(
             self.counts.groupBy("feature").agg(*[
-                self.gain(F.coalesce(F.sum(F.when(F.col(LANG) == c.label, F.col("n"))), F.lit(0))).alias(f"g{i}")
-                for i, c in enumerate(constants)
+                self.gain(F.coalesce(F.sum(F.when(F.col(LANG) == label, F.col("n"))), F.lit(0))).alias(name)
+                for label, name in own.items()
             ]),
             "nb-gains",
         )
-        joined = lookup_join(features, gains, "feature", keys[0], "left", limit, 48 + 8 * len(constants))
-        counted = F.count("feature") if self.spec.buckets else F.count("g0")
+        width = 48 + 8 * len(block)
+        if gains.count() * width <= limit:
+            joined = self._features(df, keys, text_col).join(F.broadcast(gains), "feature", "left")
+            times = F.lit(1)
+        else:
+            # The texts are clustered first, so n-grams of a text are counted in place before they travel.
+            features = self._features(cluster(df, keys[0]), keys, text_col)
+            counted = features.groupBy(*keys, "feature").agg(F.count("*").alias("_tf"))
+            joined = salted_join(counted, gains, "feature", keys[0], "left")
+            times = F.col("_tf")
+        known = F.col("feature").isNotNull() if self.spec.buckets else F.col("g0").isNotNull()
         sums = joined.groupBy(*keys).agg(
-            counted.alias("_grams"), *[F.coalesce(F.sum(f"g{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(constants))]
+            F.coalesce(F.sum(F.when(known, times)), F.lit(0)).alias("_grams"),
+            *[F.coalesce(F.sum(times * F.col(name)), F.lit(0.0)).alias(f"_{name}") for name in own.values()],
         )
         scores = F.array(*[
             F.struct(
                 F.lit(c.label).alias("label"),
-                (F.lit(c.prior) + F.col("_grams") * F.lit(c.unseen) + F.col(f"_s{i}")).alias("score"),
+                (F.lit(c.prior) + F.col("_grams") * F.lit(c.unseen) + F.col(f"_{own[c.label]}")).alias("score"),
             )
-            for i, c in enumerate(constants)
+            for c in block
         ])
         return sums.select(*keys, scores.alias("scores"))
 
-    def _scores_long(
-        self, features: DataFrame, keys: list[str], constants: list[LabelConstants], limit: int
-    ) -> DataFrame:
-        # A row with a null label per feature marks it as known, so one join also counts the n-grams.
-        known = self.counts.select("feature").distinct().withColumns({LANG: F.lit(None).cast("string"), "gain": F.lit(1.0)})
-        gains = materialize(
-            self.counts.select("feature", LANG, self.gain(F.col("n")).alias("gain")).unionByName(known), "nb-gains"
-        ).withColumnRenamed(LANG, "_label")
-        joined = lookup_join(features, gains, "feature", keys[0], "left", limit, 96)
-        unseen = 1.0 if self.spec.buckets else 0.0
-        gain = F.when(F.col("feature").isNull(), F.lit(0.0)).otherwise(F.coalesce("gain", F.lit(unseen)))
-        sums = joined.groupBy(*keys, "_label").agg(F.sum(gain).alias("_sum"))
-        texts = sums.groupBy(*keys).agg(
-            F.coalesce(F.max(F.when(F.col("_label").isNull(), F.col("_sum"))), F.lit(0.0)).alias("_grams"),
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("_label").isNotNull(), F.struct("_label", "_sum")))
-            ).alias("_gains"),
-        )
-        labels = F.array(*[
-            F.struct(F.lit(c.label).alias("label"), F.lit(c.prior).alias("prior"), F.lit(c.unseen).alias("unseen"))
-            for c in constants
-        ])
-        scores = F.transform(
-            labels,
-            lambda c: F.struct(
-                c["label"].alias("label"),
-                (
-                    c["prior"] + F.col("_grams") * c["unseen"]
-                    + F.coalesce(F.try_element_at(F.col("_gains"), c["label"]), F.lit(0.0))
-                ).alias("score"),
-            ),
-        )
-        return texts.select(*keys, scores.alias("scores"))
-
 
 def fit(
     train: DataFrame, spec: GramSpec = GramSpec(), alpha: float = 0.01, label_col: str = LANG,
@@ -214,9 +213,21 @@ def load(spark: SparkSession, path: str) -> NaiveBayesModel:
 
 
 def _decide(scores: Column) -> list[Column]:
-    """Best label, its softmax probability, and the raw output, from ``array<struct<label, score>>``."""
-    ranked = F.transform(scores, lambda s: F.struct((-F.round(s["score"], 6)).alias("rank"), s["label"].alias("label")))
-    best = F.array_min(ranked)["label"]
+    """Of ``array<struct<label, score>>``: the best entry, the top score, and the softmax mass relative to it."""
+    ranked = F.transform(
+        scores, lambda s: F.struct((-F.round(s["score"], 6)).alias("rank"), s["label"].alias("label"), s["score"].alias("score"))
+    )
     top = F.array_max(F.transform(scores, lambda s: s["score"]))
     mass = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + F.exp(s["score"] - top))
-    return [best.alias("pred"), (F.lit(1.0) / mass).alias("confidence"), best.alias("raw_output")]
+    return [F.array_min(ranked).alias("_best"), top.alias("_top"), mass.alias("_mass")]
+
+
+def _best_of_blocks(parts: DataFrame, keys: list[str], with_scores: bool) -> DataFrame:
+    """Combine a text's blocks: the least rank wins and the masses add up on one scale."""
+    entry = F.struct("_best", "_top", "_mass", *(["scores"] if with_scores else []))
+    rows = parts.groupBy(*keys).agg(F.collect_list(entry).alias("_parts"))
+    top = F.array_max(F.transform("_parts", lambda p: p["_top"]))
+    mass = F.aggregate("_parts", F.lit(0.0), lambda acc, p: acc + p["_mass"] * F.exp(p["_top"] - top))
+    best = F.array_min(F.transform("_parts", lambda p: p["_best"]))
+    scores = [F.array_sort(F.flatten(F.transform("_parts", lambda p: p["scores"]))).alias("scores")] if with_scores else []
+    return rows.select(*keys, best.alias("_best"), top.alias("_top"), mass.alias("_mass"), *scores)

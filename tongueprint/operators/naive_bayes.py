@@ -26,7 +26,7 @@ from tongueprint.session import cluster, materialize
 from tongueprint.sources.corpus import LANG, TEXT
 
 # Labels scored together: their sums are columns of one aggregation, few enough for generated code.
-LABEL_BLOCK = 80
+LABEL_BLOCK = 40
 MAX_LABELS = 20_000
 
 
@@ -120,35 +120,39 @@ class NaiveBayesModel:
         Every counted feature is in the gain table, whether or not a label of this block has it, so the
         join also tells which n-grams are known.
         """
-        own = {c.label: f"g{i}" for i, c in enumerate(block)}
+        place = F.array_position(F.array(*[F.lit(c.label) for c in block]), F.col(LANG))
+        places = list(range(1, len(block) + 1))
+        table = (
+            self.counts.select("feature", place.alias("_place"), self.gain(F.col("n")).alias("_gain"))
+            .groupBy("feature").pivot("_place", places).agg(F.sum("_gain"))
+        )
         gains = materialize(
-            self.counts.groupBy("feature").agg(*[
-                self.gain(F.coalesce(F.sum(F.when(F.col(LANG) == label, F.col("n"))), F.lit(0))).alias(name)
-                for label, name in own.items()
-            ]),
-            "nb-gains",
+            table.select("feature", F.array(*[F.coalesce(F.col(str(i)), F.lit(0.0)) for i in places]).alias("gains")), "nb-gains"
         )
-        width = 48 + 8 * len(block)
+        width = 64 + 8 * len(block)
         if gains.count() * width <= limit:
             joined = self._features(df, keys, text_col).join(F.broadcast(gains), "feature", "left")
-            times = F.lit(1)
+            times = None
         else:
             # The texts are clustered first, so n-grams of a text are counted in place before they travel.
             features = self._features(cluster(df, keys[0]), keys, text_col)
             counted = features.groupBy(*keys, "feature").agg(F.count("*").alias("_tf"))
             joined = salted_join(counted, gains, "feature", keys[0], "left")
             times = F.col("_tf")
-        known = F.col("feature").isNotNull() if self.spec.buckets else F.col("g0").isNotNull()
+        known = F.col("feature") if self.spec.buckets else F.col("gains")
+        grams = F.count(known) if times is None else F.sum(F.when(known.isNotNull(), times))
+        # The gains travel as one array: dozens of separate columns would make a method too long for the JIT.
+        each = [F.get("gains", i) if times is None else times * F.get("gains", i) for i in range(len(block))]
         sums = joined.groupBy(*keys).agg(
-            F.coalesce(F.sum(F.when(known, times)), F.lit(0)).alias("_grams"),
-            *[F.coalesce(F.sum(times * F.col(name)), F.lit(0.0)).alias(f"_{name}") for name in own.values()],
+            F.coalesce(grams, F.lit(0)).alias("_grams"),
+            *[F.coalesce(F.sum(gain), F.lit(0.0)).alias(f"_s{i}") for i, gain in enumerate(each)],
         )
         scores = F.array(*[
             F.struct(
                 F.lit(c.label).alias("label"),
-                (F.lit(c.prior) + F.col("_grams") * F.lit(c.unseen) + F.col(f"_{own[c.label]}")).alias("score"),
+                (F.lit(c.prior) + F.col("_grams") * F.lit(c.unseen) + F.col(f"_s{i}")).alias("score"),
             )
-            for c in block
+            for i, c in enumerate(block)
         ])
         return sums.select(*keys, scores.alias("scores"))
 

@@ -6,7 +6,7 @@ Steps:
 1. Shares become targets in words, none above ``most`` times what the source holds; what is cut off goes to the others
    by weight. The end of that sharing is ``min(cap, level * weight)`` for one level, found from running sums over the
    sources ordered by cap per weight.
-2. The documents of a source stand in a fixed random order (hash of id and text). Their running sum of words, times
+2. The documents of a source stand in a fixed random order (hash of id). Their running sum of words, times
    target over size, is the cumulative demand; a document takes what the demand grows by, rounded down at both ends, so
    the words taken add up to the target and a document never takes more than ``most`` times its size.
 3. The integral of the schedule up to time t is the share of the target consumed by then. Inverting it at the middle of
@@ -32,8 +32,8 @@ WEIGHTS = (5, 2, 1)
 # Time and relative weight at it, linear in between; one schedule for each weight class. The first class fades, the
 # last one comes late. They need no common scale: each is divided by its own integral.
 SCHEDULES = (((0.0, 1.0), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.5, 0.75), (1.0, 1.75)))
-# Cells for running sums; the number only spreads work.
-CELLS = 4096
+# Leading digits of the hash that make a cell for running sums, 4096 in each source; the number only spreads work.
+CELL_DIGITS = 3
 
 
 def word_count(text_col: str) -> Column:
@@ -94,14 +94,14 @@ def mix(
 ) -> DataFrame:
     """``(id, source, size, source_size, target, taken, position)`` for every row of ``docs``.
 
-    Null texts have size 0 and take nothing, so does every text without words; a null source is a source. Rows that are
-    equal in id and text are interchangeable: they stand next to each other and each takes its own part. Columns that
+    Null texts have size 0 and take nothing, so does every text without words; a null source is a source. Rows of
+    equal id stand next to each other by size, and each takes its own part; rows of equal size too are interchangeable. Columns that
     are not named are ignored. Reruns give the same rows.
     """
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(text_col).alias("size"), key.alias("_key")
-    ).withColumn("_cell", F.shiftrightunsigned("_key", 64 - CELLS.bit_length() + 1))
+    ).withColumn("_cell", F.substring("_key", 1, CELL_DIGITS))
     cells = rows.groupBy("_source", "_cell").agg(F.sum("size").alias("_words"))
     sizes = cells.groupBy("_source").agg(F.sum("_words").alias("source_size"))
     targets = source_targets(sizes, "_source", share, most, weights)
@@ -110,7 +110,7 @@ def mix(
     offsets = offsets.withColumnRenamed("_source", "_s").join(targets, F.col("_s").eqNullSafe(F.col("_source"))).drop("_s")
     offsets = offsets.withColumnsRenamed({"_source": "_s", "_cell": "_c"})
     placed = rows.join(offsets, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c"))).drop("_s", "_c")
-    within = Window.partitionBy("_source", "_cell").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("_source", "_cell").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("_before") + F.sum("size").over(within)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     demand = placed.select("*", upto.alias("_upto"), rate.alias("_rate"))

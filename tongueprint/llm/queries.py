@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tongueprint.llm import attribution, bpe, mixing, quality, topk
+from tongueprint.llm import attribution, bpe, mixing, neardup, quality, topk
 from tongueprint.llm.common import sha, table
 
 QUERIES: dict = {}
@@ -32,6 +34,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", neardup.hex_of("fingerprint").alias("fingerprint"), "component_id")
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
@@ -68,20 +76,47 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql_time(schedule: tuple) -> str:
+    """SQL for the time at which the share ``u`` of a schedule's integral is reached, as ``mixing.invert`` says it."""
+    pieces = [(t0, w0, t1, w1, (t1 - t0) * (w0 + w1) / 2) for (t0, w0), (t1, w1) in pairwise(schedule)]
+    wanted, done, cases = f"(u * {sum(p[-1] for p in pieces)!r}::DOUBLE)", 0.0, []
+    for t0, w0, t1, w1, area in pieces:
+        rest = f"greatest(0.0::DOUBLE, {wanted} - {done!r}::DOUBLE)"
+        root = f"sqrt(greatest(0.0::DOUBLE, {w0 * w0!r}::DOUBLE + {2 * (w1 - w0) / (t1 - t0)!r}::DOUBLE * {rest}))"
+        time = f"{t0!r}::DOUBLE + CASE WHEN {rest} > 0 THEN 2.0::DOUBLE * {rest} / ({w0!r}::DOUBLE + {root}) ELSE 0 END"
+        done += area
+        cases.append(f"WHEN {wanted} <= {done!r}::DOUBLE THEN least({t1!r}::DOUBLE, {time})")
+    return f"CASE {' '.join(cases)} ELSE {schedule[-1][0]!r}::DOUBLE END"
+
+
 @query("op10_mix", f"""
 WITH docs AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, md5('7:' || doc_id) AS key,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
 sizes AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-         CAST(list_extract([5, 2, 1], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)) AS DOUBLE) AS w
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS place
   FROM docs GROUP BY source),
+weighed AS (SELECT *, CAST(list_extract([5, 2, 1], CAST(place + 1 AS INTEGER)) AS DOUBLE) AS w FROM sizes),
 levels AS (
-  SELECT *, 2.0 * source_size AS cap, (SELECT 1.5 * sum(source_size) FROM sizes) AS wanted,
-         coalesce(sum(2.0 * source_size) OVER before, 0) AS filled, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open
-  FROM sizes WINDOW before AS (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-level AS (SELECT max((wanted - filled) / open) AS x FROM levels WHERE (wanted - filled) / open * w <= cap)
-SELECT d.doc_id, d.size, l.source_size, least(l.cap, level.x * l.w) AS target
-FROM docs d JOIN levels l ON d.source IS NOT DISTINCT FROM l.source, level
+  SELECT *, CAST(2.0 * source_size AS DOUBLE) AS cap, (SELECT CAST(1.5 * sum(source_size) AS DOUBLE) FROM sizes) AS wanted,
+         CAST(coalesce(sum(2.0 * source_size) OVER before, 0) AS DOUBLE) AS filled,
+         sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open
+  FROM weighed WINDOW before AS (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT max((wanted - filled) / open) AS x FROM levels WHERE (wanted - filled) / open * w <= cap),
+running AS (
+  SELECT d.doc_id, d.size, l.source_size, l.place, least(l.cap, level.x * l.w) AS target,
+         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS upto
+  FROM docs d JOIN levels l ON d.source IS NOT DISTINCT FROM l.source, level),
+demand AS (
+  SELECT *, upto * (CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS last,
+         (upto - size) * (CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS first
+  FROM running),
+shares AS (SELECT *, CASE WHEN target > 0 THEN (first + last) / (2.0::DOUBLE * target) ELSE 0 END AS u FROM demand)
+SELECT doc_id, size, source_size, target, CAST(floor(last) - floor(first) AS BIGINT) AS taken,
+       CASE place WHEN 0 THEN {_sql_time(mixing.SCHEDULES[0])} WHEN 1 THEN {_sql_time(mixing.SCHEDULES[1])}
+       ELSE {_sql_time(mixing.SCHEDULES[2])} END AS position
+FROM shares
 """)
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import pairwise
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tongueprint.llm import attribution, bpe, mixing, neardup, quality, topk
+from tongueprint.llm import attribution, bpe, imatch, lines, mixing, neardup, neighbours, quality, secrets, suffixes, topk
 from tongueprint.llm.common import sha, table
 
 QUERIES: dict = {}
@@ -25,6 +26,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_lines")
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", sha(F.coalesce("text", F.lit(""))).alias("text_sha256"))
+
+
+@query("op2_suffixes")
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    cuts = suffixes.cut_texts(docs).select("key", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return suffixes.attach(docs, cuts).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op3_quality")
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
@@ -40,6 +54,36 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", neardup.hex_of("fingerprint").alias("fingerprint"), "component_id")
 
 
+@query("op5_imatch")
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    shipped = spark.sparkContext.broadcast(imatch.lexicon_of(docs))
+
+    def make():
+        terms, hashes, last = shipped.value.terms, imatch.Hashes(), {}
+
+        def pair(text: str, following: str) -> tuple:
+            # The next document's fingerprint is the one of the step to come.
+            own = last.pop(text, None) or imatch.signature(text, terms, hashes)
+            after = own if following == text else imatch.signature(following, terms, hashes)
+            last.clear()
+            last[following] = after
+            half = len(text) // 2
+            edited = text[:len(text) - half] + following[:half]
+            changed = own if edited == text else imatch.signature(edited, terms, hashes)
+            return (
+                len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), imatch.as_text(own), imatch.as_text(changed),
+                imatch.likeness(own, changed), imatch.likeness(own, after),
+            )
+
+        return pair
+
+    return neighbours.with_next(
+        docs, "doc_id", "text", make,
+        "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    )
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
@@ -89,6 +133,23 @@ def _sql_time(schedule: tuple) -> str:
     return f"CASE {' '.join(cases)} ELSE {schedule[-1][0]!r}::DOUBLE END"
 
 
+@query("op9_secrets")
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = secrets.scan(docs, secrets.train(findings=secrets.weak_findings(docs)))
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select(
+        "doc_id", number("assign"), number("access"), number("hex"), sha(joined(base)).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
+
+
 @query("op10_mix", f"""
 WITH docs AS (
   SELECT doc_id, source, md5('7:' || doc_id) AS key,

@@ -1,3 +1,5 @@
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,12 @@ def test_streamed_counts_equal_batch_counts(spark, landing, spec):
     incremental.count_stream(stream, str(path / "m"), str(path / "cp"), spec).awaitTermination()
     grown = naive_bayes.fit(spark.createDataFrame(ROWS + more, SCHEMA), spec)
     assert tables(incremental.streamed_model(spark, str(path / "m"), spec, base=base)) == tables(grown)
+    # A second compaction keeps the history of folders that are gone: here are only those of the last batch.
+    for kind in ("counts", "classes"):
+        shutil.copytree(path / "m" / kind / "batch_id=3", path / "late" / kind / "batch_id=3")
+    assert tables(incremental.compact(spark, str(path / "late"), spec, base=base)) == tables(grown)
+    # A batch beyond the last one asked for is left out.
+    assert tables(incremental.streamed_model(spark, str(path / "m"), spec, last=2)) == tables(whole)
 
 
 def test_labelled_stream_equals_batch(spark, landing):

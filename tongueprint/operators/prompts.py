@@ -19,13 +19,10 @@ SYSTEM_PROMPT = (
 )
 USER_HEAD = "Text:\n"
 USER_TAIL = "\n\nISO 639-3 code:"
-MAX_SHOTS = 10
 
 
 def prompt_table(df: DataFrame, examples: Sequence[tuple[str, str]] = (), text_col: str = TEXT) -> DataFrame:
     """Add ``messages``: the system turn, demonstration pairs, then the text to classify."""
-    if len(examples) > MAX_SHOTS:
-        raise ValueError(f"at most {MAX_SHOTS} demonstrations")
     turns = [_turn("system", F.lit(SYSTEM_PROMPT))]
     for text, code in examples:
         turns += [_turn("user", _question(F.lit(text))), _turn("assistant", F.lit(code))]

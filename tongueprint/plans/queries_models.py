@@ -297,13 +297,13 @@ def detector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("logreg_detector")
 def logreg_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Iterative fit, so decisions are tested by their quality rather than against SQL."""
-    _, scores = jobs.train_detector(french_detector_data(spark, sf_dir), codes_of(spark), "logreg", max_iter=100)
+    _, scores = jobs.train_detector(french_detector_data(spark, sf_dir), codes_of(spark), "logreg")
     return rounded(scores, "precision", "recall", "f1", "accuracy", digits=3)
 
 
 @query("svm_detector")
 def svm_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, scores = jobs.train_detector(french_detector_data(spark, sf_dir), codes_of(spark), "linear_svm", max_iter=20)
+    _, scores = jobs.train_detector(french_detector_data(spark, sf_dir), codes_of(spark), "linear_svm")
     return rounded(scores, "precision", "recall", "f1", "accuracy", digits=3)
 
 

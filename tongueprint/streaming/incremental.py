@@ -34,18 +34,19 @@ def count_stream(
 
 
 def streamed_model(
-    spark: SparkSession, root: str, spec: GramSpec = GramSpec(), alpha: float = 0.01, base: naive_bayes.NaiveBayesModel | None = None
+    spark: SparkSession, root: str, spec: GramSpec = GramSpec(), alpha: float = 0.01,
+    base: naive_bayes.NaiveBayesModel | None = None, last: int | None = None,
 ) -> naive_bayes.NaiveBayesModel:
-    """The model as of the batches written so far: counts add up, so it equals one batch fit.
+    """The model as of the batches written so far, up to ``last`` if given: counts add up, so it equals one batch fit.
 
     ``base`` is an earlier compaction; its name holds the last batch it covers.
     """
     feature = "string" if spec.buckets is None else "bigint"
-    counts = spark.read.schema(COUNTS.format(feature=feature)).parquet(f"{root}/counts")
-    classes = spark.read.schema(CLASSES).parquet(f"{root}/classes")
+    wanted = F.lit(True) if last is None else F.col("batch_id") <= last
     if base is not None:
-        covered = int(base.name.removeprefix("compacted-"))
-        counts, classes = counts.where(F.col("batch_id") > covered), classes.where(F.col("batch_id") > covered)
+        wanted = wanted & (F.col("batch_id") > int(base.name.removeprefix("compacted-")))
+    counts = spark.read.schema(COUNTS.format(feature=feature)).parquet(f"{root}/counts").where(wanted)
+    classes = spark.read.schema(CLASSES).parquet(f"{root}/classes").where(wanted)
     summed = naive_bayes.NaiveBayesModel(
         counts.groupBy(LANG, "feature").agg(F.sum("n").alias("n")),
         classes.groupBy(LANG).agg(F.sum("n_rows").alias("n_rows")), spec, alpha, "streamed",
@@ -53,14 +54,22 @@ def streamed_model(
     return naive_bayes.merge(summed, *([base] if base is not None else []))
 
 
-def compact(spark: SparkSession, root: str, spec: GramSpec = GramSpec(), alpha: float = 0.01) -> naive_bayes.NaiveBayesModel:
+def compact(
+    spark: SparkSession, root: str, spec: GramSpec = GramSpec(), alpha: float = 0.01,
+    base: naive_bayes.NaiveBayesModel | None = None,
+) -> naive_bayes.NaiveBayesModel:
     """Fold all finished batches into one model below ``root/compacted/<last batch>``.
 
-    It is written to a folder of its own under a name that says what it covers; batches stay until the
-    caller drops them, so a reader at any moment sees one or the other, never a mixture.
+    ``base`` is the compaction before, whose batches may have been dropped since; without it history is only what the
+    folders hold. A batch that lands meanwhile is left to the next compaction. It is written to a folder of its own
+    under a name that says what it covers; batches stay until the caller drops them.
     """
     last = spark.read.schema(CLASSES).parquet(f"{root}/classes").agg(F.max("batch_id")).first()[0]
-    model = streamed_model(spark, root, spec, alpha)
+    if last is None or (base is not None and last <= int(base.name.removeprefix("compacted-"))):
+        if base is None:
+            raise ValueError(f"no finished batch below {root}")
+        return base
+    model = streamed_model(spark, root, spec, alpha, base, last)
     path = f"{root}/compacted/{last}"
     naive_bayes.save(naive_bayes.NaiveBayesModel(model.counts, model.classes, spec, alpha, f"compacted-{last}"), path)
     return naive_bayes.load(spark, path)

@@ -1,5 +1,7 @@
 import math
 import random
+from collections import Counter
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +142,31 @@ def test_salted_lookup_equals_broadcast(spark):
     values = counts.groupBy("feature").agg(F.count("*").alias("df"))
     results = [sorted(lookup_join(counts, values, "feature", "row_id", "left", limit).collect()) for limit in (0, 2**30)]
     assert results[0] == results[1] and len(results[0]) == counts.count()
+
+
+def test_one_row_out_for_every_row_in(spark):
+    """Repeated and null ids, rows equal in everything, blank and null texts: nothing merges, and copies score alike."""
+    train = spark.createDataFrame(TRAIN, ROWS)
+    rows = [(7, "eng", "the cat"), (7, "eng", "el gato"), (7, "eng", "the cat"), (None, "eng", " the  cat"), (None, "eng", ""),
+            (None, "eng", None), (8, None, "  "), (8, None, "  "), (8, None, None)]
+    test = spark.createDataFrame(rows * 3, ROWS).repartition(4)
+    for buckets, block, limit in product((None, 2**18), (1, 40), (0, BROADCAST_LIMIT)):
+        model = naive_bayes.fit(train, GramSpec(buckets=buckets))
+        out = model.predict(test, label_block=block, broadcast_limit=limit).collect()
+        assert len(out) == len(rows) * 3
+        counted = Counter((r["row_id"], r["lang"], r["pred"], round(r["confidence"], 9)) for r in out)
+        apart = spark.createDataFrame([(i, lang, text) for i, (_, lang, text) in enumerate(rows)], ROWS)
+        wanted = Counter()
+        for r in model.predict(apart).collect():
+            wanted[rows[r["row_id"]][0], r["lang"], r["pred"], round(r["confidence"], 9)] += 3
+        assert counted == wanted
+
+
+def test_many_labels_read_the_texts_once(spark, tmp_path):
+    train = [(i, f"l{i:03d}", f"w{i:03d} common") for i in range(120)]
+    model = naive_bayes.fit(spark.createDataFrame(train, ROWS), GramSpec())
+    spark.createDataFrame(train, ROWS).write.parquet(str(tmp_path / "texts"))
+    out = model.predict(spark.read.parquet(str(tmp_path / "texts")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sum(line.count("FileScan") and "texts" in line for line in plan.splitlines()) == 1
+    assert all(r["pred"] == r["lang"] for r in out.collect())

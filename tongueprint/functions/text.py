@@ -64,17 +64,20 @@ def explode_tokens(df: DataFrame, text_col: str, keep: Sequence[str], outer: boo
 
 
 def explode_grams(
-    df: DataFrame, lo: int, hi: int, keep: Sequence[str], outer: bool = False
+    df: DataFrame, lo: int, hi: int, keep: Sequence[str], outer: bool = False, first: str | None = None
 ) -> DataFrame:
     """One row per character n-gram (``lo <= n <= hi``) of the space-padded ``token``, in column ``gram``.
 
     Each start position is exploded first and its grams are cut from one short substring, which
     keeps all of it inside generated code; array lambdas over the same grams took 2-3x as long.
-    A padded token shorter than ``lo`` counts once, whole.
+    A padded token shorter than ``lo`` counts once, whole. ``first`` names a flag column to add: true for
+    one row of each token, its first n-gram (or its only row, if null).
     """
     if not 1 <= lo <= hi:
         raise ValueError(f"bad n-gram range ({lo}, {hi})")
     explode = F.explode_outer if outer else F.explode
+    number = F.posexplode_outer if outer else F.posexplode
+    start = ["_start"] if first else []
     padded = F.concat(F.lit(" "), F.col("token"), F.lit(" "))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_padded") - F.lit(lo - 1)))
     window = F.substring("_padded", F.col("_start"), F.lit(hi))
@@ -86,12 +89,15 @@ def explode_grams(
     for longest in range(hi, lo, -1):
         grams = grams.when(F.length("_cut") >= longest, cuts(longest))
     grams = grams.otherwise(F.array(F.col("_cut")))
-    return (
+    windows = (
         df.select(*keep, padded.alias("_padded"))
         .select(*keep, "_padded", explode(starts).alias("_start"))
-        .select(*keep, window.alias("_cut"))
-        .select(*keep, explode(grams).alias("gram"))
+        .select(*keep, *start, window.alias("_cut"))
     )
+    if first is None:
+        return windows.select(*keep, explode(grams).alias("gram"))
+    is_first = (F.coalesce("_start", F.lit(1)) == 1) & (F.coalesce("_place", F.lit(0)) == 0)
+    return windows.select(*keep, *start, number(grams).alias("_place", "gram")).select(*keep, "gram", is_first.alias(first))
 
 
 def gram_total(text_col: str, lo: int, hi: int) -> Column:

@@ -19,15 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tongueprint.functions.hashing import GramSpec
-from tongueprint.functions.text import explode_grams, explode_tokens
+from tongueprint.functions.text import WHITESPACE, explode_grams
 from tongueprint.operators.grams import label_gram_counts
 from tongueprint.operators.lookup import BROADCAST_LIMIT, salted_join
 from tongueprint.session import cluster, materialize
 from tongueprint.sources.corpus import LANG, TEXT
 
-# Labels scored together: their sums are columns of one aggregation, few enough for generated code.
+# Labels whose sums are columns of one row: few enough for generated code.
 LABEL_BLOCK = 40
-MAX_LABELS = 20_000
 
 
 @dataclass(frozen=True)
@@ -52,9 +51,7 @@ class NaiveBayesModel:
     def constants(self) -> list[LabelConstants]:
         """Per-label constants on the driver: one small row per label, never per text or feature."""
         totals = self.counts.groupBy(LANG).agg(F.sum("n").alias("grams"))
-        rows = self.classes.join(totals, LANG, "left").orderBy(LANG).limit(MAX_LABELS + 1).collect()
-        if len(rows) > MAX_LABELS:
-            raise ValueError(f"more than {MAX_LABELS} labels")
+        rows = self.classes.join(totals, LANG, "left").orderBy(LANG).collect()
         if not rows:
             raise ValueError("the model has no label")
         features = self.spec.buckets or self.counts.select("feature").distinct().count()
@@ -75,28 +72,23 @@ class NaiveBayesModel:
         self, df: DataFrame, id_col: str = "row_id", keep: Sequence[str] = (LANG,), text_col: str = TEXT,
         with_scores: bool = False, label_block: int = LABEL_BLOCK, broadcast_limit: int = BROADCAST_LIMIT,
     ) -> DataFrame:
-        """``(id, keep..., pred, confidence, raw_output)`` for every row, empty texts included.
+        """``(id, keep..., pred, confidence, raw_output)``: one row out for every row in, empty texts included.
 
-        ``keep`` columns ride along as grouping keys, so no join back is needed to score predictions.
-        Equal scores (to 6 decimals) go to the smaller label. Labels are scored in blocks, each a pass
-        over the texts with a gain table small enough to broadcast; a block leaves one small row per text
-        (its best label and its share of the softmax), which is all that is shuffled.
+        ``keep`` columns ride along as grouping keys, so no join back is needed to score predictions. Rows of equal id stay
+        apart: the text's hash is a key too, and rows equal in all keys are counted and given back as often.
+        Equal scores (to 6 decimals) go to the smaller label. The texts are read and unfolded once for any number of
+        labels; sums of ``label_block`` labels are columns of one aggregation, and each block leaves one small row per
+        text (its best label and its share of the softmax), which is all that is shuffled.
         """
-        constants = self.constants()
         keys = [id_col, *keep]
-        blocks = [constants[i:i + label_block] for i in range(0, len(constants), label_block)]
-        parts = [
-            self._block_scores(df, keys, text_col, block, broadcast_limit)
-            .select(*keys, *_decide(F.col("scores")), *(["scores"] if with_scores else []))
-            for block in blocks
-        ]
-        best = parts[0]
-        if len(parts) > 1:
-            for part in parts[1:]:
-                best = best.unionByName(part)
-            best = _best_of_blocks(best, keys, with_scores)
+        constants = self.constants()
+        scored = self._block_scores(df, keys, text_col, constants, label_block, broadcast_limit)
+        own = [*keys, "_text", "_copies"]
+        parts = scored.select(*own, *_decide(F.col("scores")), *(["scores"] if with_scores else []))
+        best = parts if len(constants) <= label_block else _best_of_blocks(parts, own, with_scores)
+        once_each = best.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
         pred = F.col("_best.label")
-        return best.select(
+        return once_each.select(
             *keys, pred.alias("pred"), (F.exp(F.col("_best.score") - F.col("_top")) / F.col("_mass")).alias("confidence"),
             pred.alias("raw_output"), *(["scores"] if with_scores else []),
         )
@@ -107,54 +99,78 @@ class NaiveBayesModel:
         return scored.select(id_col, F.inline("scores")).withColumnsRenamed({"label": LANG})
 
     def _features(self, df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-        """One row per n-gram; a text without any keeps one row, with a null feature."""
-        tokens = explode_tokens(df, text_col, keys, outer=True)
-        grams = explode_grams(tokens, self.spec.lo, self.spec.hi, keys, outer=True)
-        return grams.select(*keys, self.spec.feature(F.col("gram")).alias("feature"))
+        """``(keys, _text, feature, _first)``, a row per n-gram; a text without any keeps one row, with a null feature.
+
+        ``_text`` is the text's hash; ``_first`` is true in one of the rows of each text.
+        """
+        words = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), WHITESPACE)
+        own = [*keys, "_text"]
+        # The first word may be empty, before leading blanks: its row counts the text, with a null feature.
+        tokens = df.select(*keys, F.xxhash64(text_col).alias("_text"), F.posexplode(words).alias("_word", "token"))
+        tokens = tokens.withColumn("token", F.nullif(F.col("token"), F.lit("")))
+        grams = explode_grams(tokens, self.spec.lo, self.spec.hi, [*own, "_word"], outer=True, first="_begins")
+        first = F.col("_begins") & (F.col("_word") == 0)
+        return grams.select(*own, self.spec.feature(F.col("gram")).alias("feature"), first.alias("_first"))
 
     def _block_scores(
-        self, df: DataFrame, keys: list[str], text_col: str, block: list[LabelConstants], limit: int
+        self, df: DataFrame, keys: list[str], text_col: str, constants: list[LabelConstants], size: int, limit: int
     ) -> DataFrame:
-        """``(keys, scores)`` with the scores of a block of labels as ``array<struct<label, score>>``.
+        """``(keys, _text, _copies, scores)``, a row per text and block of labels.
 
-        Every counted feature is in the gain table, whether or not a label of this block has it, so the
-        join also tells which n-grams are known.
+        ``scores`` is ``array<struct<label, score>>``. Every counted feature is in the gain table, so the join also tells
+        which n-grams are known. Each n-gram meets all its gains at once and goes on once per block.
         """
-        place = F.array_position(F.array(*[F.lit(c.label) for c in block]), F.col(LANG))
-        places = list(range(1, len(block) + 1))
+        blocks = [constants[i:i + size] for i in range(0, len(constants), size)]
+        labels = df.sparkSession.createDataFrame(
+            [(number, place, c.label, c.prior, c.unseen) for number, block in enumerate(blocks) for place, c in enumerate(block)],
+            "_block int, _at int, label string, prior double, unseen double",
+        )
+        placed = labels.select(F.col("label").alias(LANG), (F.col("_block") * size + F.col("_at")).alias("_place"))
+        places = list(range(len(constants)))
+        # The labels came from the driver, a small row each, so sending them to every task adds nothing unbounded.
         table = (
-            self.counts.select("feature", place.alias("_place"), self.gain(F.col("n")).alias("_gain"))
+            self.counts.join(F.broadcast(placed), LANG, "left").select("feature", "_place", self.gain(F.col("n")).alias("_gain"))
             .groupBy("feature").pivot("_place", places).agg(F.sum("_gain"))
         )
         gains = materialize(
             table.select("feature", F.array(*[F.coalesce(F.col(str(i)), F.lit(0.0)) for i in places]).alias("gains")), "nb-gains"
         )
-        width = 64 + 8 * len(block)
-        if gains.count() * width <= limit:
+        own = [*keys, "_text"]
+        if gains.count() * (64 + 8 * len(constants)) <= limit:
             joined = self._features(df, keys, text_col).join(F.broadcast(gains), "feature", "left")
-            times = None
+            times, copies = None, F.count_if("_first")
         else:
             # The texts are clustered first, so n-grams of a text are counted in place before they travel.
             features = self._features(cluster(df, keys[0]), keys, text_col)
-            counted = features.groupBy(*keys, "feature").agg(F.count("*").alias("_tf"))
+            counted = features.groupBy(*own, "feature").agg(F.count("*").alias("_tf"), F.count_if("_first").alias("_firsts"))
             joined = salted_join(counted, gains, "feature", keys[0], "left")
-            times = F.col("_tf")
+            times, copies = F.col("_tf"), F.sum("_firsts")
+        if len(blocks) > 1:
+            joined = joined.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(len(blocks) - 1))))
+        else:
+            joined = joined.withColumn("_block", F.lit(0))
         known = F.col("feature") if self.spec.buckets else F.col("gains")
         grams = F.count(known) if times is None else F.sum(F.when(known.isNotNull(), times))
         # The gains travel as one array: dozens of separate columns would make a method too long for the JIT.
-        each = [F.get("gains", i) if times is None else times * F.get("gains", i) for i in range(len(block))]
-        sums = joined.groupBy(*keys).agg(
-            F.coalesce(grams, F.lit(0)).alias("_grams"),
+        widest = len(blocks[0])
+        each = [F.get("gains", F.col("_block") * size + i) for i in range(widest)]
+        each = each if times is None else [times * gain for gain in each]
+        sums = joined.groupBy(*own, "_block").agg(
+            copies.alias("_copies"), F.coalesce(grams, F.lit(0)).alias("_grams"),
             *[F.coalesce(F.sum(gain), F.lit(0.0)).alias(f"_s{i}") for i, gain in enumerate(each)],
         )
-        scores = F.array(*[
-            F.struct(
-                F.lit(c.label).alias("label"),
-                (F.lit(c.prior) + F.col("_grams") * F.lit(c.unseen) + F.col(f"_s{i}")).alias("score"),
-            )
-            for i, c in enumerate(block)
-        ])
-        return sums.select(*keys, scores.alias("scores"))
+        entry = F.struct("_at", "label", "prior", "unseen")
+        of_block = labels.groupBy("_block").agg(F.array_sort(F.collect_list(entry)).alias("_labels"))
+        gained = F.array(*[F.col(f"_s{i}") for i in range(widest)])
+        # Sums over equal texts are as many times too large.
+        per_text = sums.select(
+            *own, "_block", "_copies", (F.col("_grams") / F.col("_copies")).alias("_grams"), gained.alias("_gained")
+        ).join(F.broadcast(of_block), "_block")
+        scores = F.transform("_labels", lambda c: F.struct(
+            c["label"].alias("label"),
+            (c["prior"] + F.col("_grams") * c["unseen"] + F.get("_gained", c["_at"]) / F.col("_copies")).alias("score"),
+        ))
+        return per_text.select(*own, "_copies", scores.alias("scores"))
 
 
 def fit(

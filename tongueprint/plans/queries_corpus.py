@@ -11,7 +11,8 @@ from tongueprint.functions.hashing import key_fraction, shuffle_key
 from tongueprint.functions.text import LINE_BREAK, NOT_WHITESPACE, WHITESPACE_CHARS, explode_lines, one_line
 from tongueprint.operators import distribution, metrics, prompts, sampling
 from tongueprint.plans.catalog import (
-    SQL_CODES, SQL_DOCS, SQL_PAGES, codes_of, sql_fraction, conversation_turns, documents, labels_only, query, sql_hex, sql_key, table, web_pages,
+    SQL_CODES, SQL_DOCS, SQL_NOISY, SQL_PAGES, codes_of, sql_fraction, conversation_turns, documents, labels_only, noisy_predictions, query, sql_hex,
+    sql_key, table, web_pages,
 )
 from tongueprint.session import shared_dir
 from tongueprint.sources.codes import display_label
@@ -234,20 +235,25 @@ def run_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("kind", kind).groupBy("run_label", "kind").agg(F.count("*").alias("rows"))
 
 
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted label of every document: labels beyond those of the tables."""
+    return noisy_predictions(spark, sf_dir).select("row_id", F.col("pred").alias(LANG))
+
+
 @query("lang_distribution", f"""
-WITH {SQL_DOCS}, {SQL_PAGES}, a AS (SELECT lang, count(*) AS n FROM docs GROUP BY lang),
-b AS (SELECT lang, count(*) AS n FROM page_docs WHERE lang <> 'spa' GROUP BY lang),
+WITH {SQL_NOISY}, a AS (SELECT lang, count(*) AS n FROM docs GROUP BY lang),
+b AS (SELECT pred AS lang, count(*) AS n FROM preds GROUP BY pred),
 joined AS (
   SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.n, 0) AS an, coalesce(b.n, 0) AS bn FROM a FULL JOIN b ON a.lang = b.lang),
 shares AS (SELECT lang, an, bn, an / (sum(an) OVER ()) AS fa, bn / (sum(bn) OVER ()) AS fb FROM joined)
 SELECT lang, round(fa + fb, 6) AS both, 'documents' AS dataset, an AS rows, round(fa, 6) AS frequency FROM shares
 UNION ALL
-SELECT lang, round(fa + fb, 6), 'pages', bn, round(fb, 6) FROM shares
+SELECT lang, round(fa + fb, 6), 'predicted', bn, round(fb, 6) FROM shares
 """)
 def lang_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = distribution.language_counts(labels_only(spark, sf_dir))
-    second = distribution.language_counts(web_pages(spark, sf_dir).where(F.col(LANG) != "spa"))
-    out = distribution.compare_distributions(first, second, ("documents", "pages"))
+    second = distribution.language_counts(_predicted(spark, sf_dir))
+    out = distribution.compare_distributions(first, second, ("documents", "predicted"))
     return out.withColumns({"both": F.round("both", 6), "frequency": F.round("frequency", 6)})
 
 
@@ -262,32 +268,29 @@ def histogram_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("label_sets", f"""
-WITH {SQL_DOCS}, {SQL_PAGES}, a AS (SELECT DISTINCT lang FROM docs WHERE lang <> 'deu'),
-b AS (SELECT DISTINCT lang FROM page_docs WHERE lang <> 'spa')
+WITH {SQL_NOISY}, {SQL_PAGES}, a AS (SELECT DISTINCT pred AS lang FROM preds), b AS (SELECT DISTINCT lang FROM page_docs)
 SELECT coalesce(a.lang, b.lang) AS lang,
        CASE WHEN a.lang IS NULL THEN 'second' WHEN b.lang IS NULL THEN 'first' ELSE 'both' END AS found_in
 FROM a FULL JOIN b ON a.lang = b.lang
 """)
 def label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = labels_only(spark, sf_dir).where(F.col(LANG) != "deu")
-    return distribution.label_sets(docs, web_pages(spark, sf_dir).where(F.col(LANG) != "spa"))
+    return distribution.label_sets(_predicted(spark, sf_dir), web_pages(spark, sf_dir))
 
 
 @query("labels_shared", f"""
-WITH {SQL_DOCS}, {SQL_PAGES}
-SELECT lang FROM docs WHERE lang <> 'deu' INTERSECT SELECT lang FROM page_docs WHERE lang <> 'spa'
+WITH {SQL_NOISY}, {SQL_PAGES}
+SELECT pred AS lang FROM preds INTERSECT SELECT lang FROM page_docs
 """)
 def labels_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = labels_only(spark, sf_dir).where(F.col(LANG) != "deu")
-    return distribution.shared_labels(docs, web_pages(spark, sf_dir).where(F.col(LANG) != "spa"))
+    return distribution.shared_labels(_predicted(spark, sf_dir), web_pages(spark, sf_dir))
 
 
 @query("labels_missing", f"""
-WITH {SQL_DOCS}, {SQL_PAGES}
-SELECT lang FROM docs EXCEPT SELECT lang FROM page_docs WHERE lang <> 'spa'
+WITH {SQL_NOISY}, {SQL_PAGES}
+SELECT pred AS lang FROM preds EXCEPT SELECT lang FROM page_docs
 """)
 def labels_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distribution.labels_only_in(labels_only(spark, sf_dir), web_pages(spark, sf_dir).where(F.col(LANG) != "spa"))
+    return distribution.labels_only_in(_predicted(spark, sf_dir), web_pages(spark, sf_dir))
 
 
 @query("augment_corpus", f"""
@@ -377,7 +380,7 @@ def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distribution.merge_histogram(codes_of(spark).normalize(read_histogram(spark, folder), LANG))
 
 
-@query("own_loader", f"WITH {SQL_PAGES} SELECT page_id AS row_id, c.lang FROM pages p JOIN page_docs c ON c.row_id = p.page_id")
+@query("own_loader", f"WITH {SQL_PAGES} SELECT row_id, sentence, lang FROM page_docs")
 def own_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A caller's loader for a format of its own: pages labelled by their markup."""
-    return custom_corpus(lambda s: web_pages(s, sf_dir), spark, codes_of(spark)).select("row_id", LANG)
+    return custom_corpus(lambda s: web_pages(s, sf_dir), spark, codes_of(spark)).select("row_id", TEXT, LANG)

@@ -159,5 +159,5 @@ def load_run(runs: DataFrame, run_id: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """A comparison table as files; small tables become one file."""
-    df.coalesce(1).write.mode("overwrite").format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)
+    """A table as files, as many as it has partitions."""
+    df.write.mode("overwrite").format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)

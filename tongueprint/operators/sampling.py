@@ -125,8 +125,8 @@ def fewshot_pick(df: DataFrame, shot: int, seed: int = 0, id_col: str = "row_id"
 
 
 def hold_out(df: DataFrame, picked: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """Rows not picked. ``picked`` holds a handful of rows (the shot count)."""
-    return df.join(F.broadcast(picked.select(id_col)), id_col, "left_anti")
+    """Rows not picked. Spark sends ``picked`` to every task only while its size allows."""
+    return df.join(picked.select(id_col), id_col, "left_anti")
 
 
 def split_exact(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app_name: str = "tongueprint", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings the jobs rely on; anything already set by the cluster wins."""
+    """Session with the settings the jobs rely on. They replace what was submitted; those in ``conf`` replace them."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)

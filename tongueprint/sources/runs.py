@@ -151,7 +151,7 @@ def load_runs(runs: DataFrame, run_ids: Sequence[str] | None = None, dataset: st
     if dataset is not None:
         runs = runs.where(F.col("dataset") == dataset)
     score = F.nanvl(F.coalesce("macro_f1", F.lit(-1.0)), F.lit(-1.0))
-    return runs.orderBy(score.desc(), "run_id")
+    return runs.orderBy(score.desc(), F.col("run_id").desc())
 
 
 def load_run(runs: DataFrame, run_id: str) -> DataFrame:

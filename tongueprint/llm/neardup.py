@@ -22,15 +22,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tongueprint.llm.common import WORD, map_rows, text_or_empty, workers
+from tongueprint.llm.common import WORD, map_rows, text_or_empty
 from tongueprint.llm.components import components
 from tongueprint.session import materialize
 
 SHINGLE = 3
 RADIUS = 2
+# Min-hash keys of a document's shingles, and min-hashes in each: of pairs of similarity 0.8, 99.99% share a key.
+KEYS, ROWS = 30, 6
 SAMPLE = 50_000
 SHARD = 20_000
 DIRECT = 256
@@ -39,19 +41,24 @@ UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """64 majority bits of the XXH64 (seed 42) of all shingles of a text, repeats included; 0 without words."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of all shingles of a text, repeats included; of all its words if they are no more than a shingle."""
     words = WORDS.findall(text.encode("utf-8").translate(bytes.maketrans(UPPER, LOWER)))
-    if not words:
-        return 0
     hashed = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return hashed(b" ".join(words), 42)
+        return np.array([hashed(b" ".join(words), 42)] if words else [], dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:len(words) - shingle]]).tolist()
     stops = (ends[shingle - 1:] - 1).tolist()
-    hashes = np.array([hashed(joined[i:j], 42) for i, j in zip(starts, stops)], dtype=np.uint64)
+    return np.array([hashed(joined[i:j], 42) for i, j in zip(starts, stops)], dtype=np.uint64)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """64 majority bits of the hashes of all shingles of a text; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     votes = np.zeros(64, dtype=np.int64)
     for start in range(0, len(hashes), 1 << 16):
         octets = hashes[start:start + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -218,6 +225,73 @@ def near_duplicates(
     return marked.join(classes, F.col("fingerprint") == F.col("_f")).drop("_f")
 
 
+def shingle_sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``(node, fingerprint, keys, shingles)`` of every row: hash of the text, min-hash keys, sorted distinct hashes of its shingles."""
+    picked = docs.select(F.xxhash64(text_or_empty(text_col)).alias("node"), text_or_empty(text_col).alias("text"))
+    factors = np.random.default_rng(17).integers(0, 1 << 63, KEYS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def make():
+        def keys_of(hashes: np.ndarray) -> list[int]:
+            least = np.array([(hashes * f).min() for f in factors], dtype="<u8").reshape(KEYS, ROWS)
+            return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least)]
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys, sets, bits = [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = np.unique(shingle_hashes(text, shingle))
+                sets.append(hashes.view(np.int64))
+                bits.append(fingerprint(text, shingle))
+                keys.append(keys_of(hashes) if len(hashes) else [0])
+            points = pa.array(np.array(bits, dtype=np.uint64).view(np.int64))
+            kind = pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0), points, pa.array(keys, kind), pa.array(sets, kind)], names=["node", "fingerprint", "keys", "shingles"]
+            )
+
+        return step
+
+    return map_rows(picked, make, "node long, fingerprint long, keys array<long>, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets of shingles have that Jaccard similarity; two empty sets are equal."""
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    least, most = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = shared + 1e-9 >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)
+    return both.where((least + 1e-9 >= F.lit(similarity) * most) & alike).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, text_col: str, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """``(node, component)`` of the texts (``node``: xxhash64) linked to another one by shingle similarity.
+
+    Candidates share a min-hash key or have fingerprints within the radius; the true similarity of their shingles decides. As
+    for lines, every text is compared with the smallest one at its keys first, and then only across groups.
+    """
+    sets = materialize(shingle_sets(docs, text_col, shingle).dropDuplicates(["node"]), "shingles")
+    points = sets.groupBy("fingerprint").agg(F.min("node").alias("hub"))
+    near = links(points, "fingerprint", radius)
+    for end in "ab":
+        near = near.join(points.select(F.col("fingerprint").alias(end), F.col("hub").alias(f"hub_{end}")), end).drop(end)
+    same = sets.join(points.select(F.col("fingerprint").alias("_f"), "hub"), F.col("fingerprint") == F.col("_f"))
+    there = Window.partitionBy("meet")
+    met = sets.select("node", F.explode("keys").alias("meet")).withColumns({"hub": F.min("node").over(there), "last": F.max("node").over(there)})
+    places = materialize(met.where("hub <> last").select("meet", "node", "hub"), "shingle-places")
+    stars = places.select("node", "hub").union(same.select("node", "hub")).union(near.select("hub_a", "hub_b"))
+    stars = stars.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    groups = materialize(components(verified(materialize(stars, "shingle-stars"), sets, similarity), "a", "b"), "shingle-groups")
+    known = groups.select(F.col("node").alias("_n"), "component")
+    placed = places.join(known, F.col("node") == F.col("_n"), "left").select("meet", "node", F.coalesce("component", "node").alias("grp"))
+    mixed = placed.withColumns({"low": F.min("grp").over(there), "high": F.max("grp").over(there)}).where("low <> high")
+    mixed = materialize(mixed.select("meet", "node", "grp"), "shingle-mixed")
+    left, right = mixed.alias("l"), mixed.alias("r")
+    across = (F.col("l.meet") == F.col("r.meet")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.grp") != F.col("r.grp"))
+    more = left.join(right, across).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    rest = verified(materialize(more, "shingle-pairs"), sets, similarity)
+    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), "a", "b")
+
+
 def hex_of(column: str):
     """The 64 bits of a long as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))

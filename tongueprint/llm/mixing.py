@@ -133,12 +133,12 @@ def range_sort(df: DataFrame, position_col: str = "position", *ties: str) -> Dat
 def copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The mix as whole documents: each as many times as ``taken`` holds its size, the rest by a fair draw on the id.
 
-    ``docs`` must have unique ids. Documents drawn zero times go; a document taken twice stands twice. Repeats keep the
+    ``docs`` must have unique ids, one of which may be null. Documents drawn zero times go; a document taken twice stands twice. Repeats keep the
     words of a source near its target on average, without cutting texts.
     """
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     count = (F.floor(times) + F.when(draw < times - F.floor(times), 1).otherwise(0)).cast("int")
     wanted = mixed.select(F.col(id_col).alias("_id"), count.alias("_times"), "position").where("_times > 0")
-    out = docs.join(wanted, F.col(id_col) == F.col("_id")).drop("_id")
+    out = docs.join(wanted, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).drop("_copy", "_times")

@@ -387,3 +387,15 @@ def evaluate_job(spark: SparkSession, sf_dir: str) -> DataFrame:
         documents(spark, sf_dir), model, codes_of(spark), "documents", root, n=50, shot=5, languages="French, de, eng", seed=4
     )
     return rounded(result.overall, "accuracy", "macro_f1")
+
+
+@query("evaluate_job_all", f"""
+WITH {SQL_DOCS}, {SQL_PAGES}, {sql_counts('m', 'page_docs', HASHED)}, {sql_predict('m', 'docs', HASHED)}
+{sql_overall('m_preds', 'charngram-nb')}
+""")
+def evaluate_job_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same job over every row of every language: no demonstrations, no sample."""
+    model = naive_bayes.fit(web_pages(spark, sf_dir), HASHED, name="charngram-nb")
+    root = f"{shared_dir(spark)}/tongueprint/results-{uuid.uuid4().hex}"
+    result, _ = jobs.evaluate_job(documents(spark, sf_dir), model, codes_of(spark), "documents", root, n=0)
+    return rounded(result.overall, "accuracy", "macro_f1")

@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tongueprint.llm import attribution, bpe, imatch, lines, mixing, neardup, neighbours, quality, secrets, suffixes, topk
+from tongueprint.llm import (
+    attribution, bpe, hardneg, imatch, lines, mixing, neardup, neighbours, quality, secrets, suffixes, topk, toxicity, trie,
+)
 from tongueprint.llm.common import sha, table
 
 QUERIES: dict = {}
@@ -184,3 +186,91 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.range_sort(mixed, "position", "doc_id").select(
         "doc_id", "size", "source_size", "target", "taken", "position"
     )
+
+
+@query("op11_hard_negatives", """
+WITH vecs AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(sum(a.x * c.x) AS BIGINT) AS score
+  FROM parts a JOIN parts c ON a.i = c.i AND a.vec_id <> c.vec_id
+  WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.positive_id, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+  WHERE 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hardneg.usable(vectors.withColumn("label", label), "vec_id", "embedding", "label")
+    return hardneg.mine(rows, rows.where(F.col("id") % 100 == 0))
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select(
+        "doc_id", quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
+# Fixed value: the reversed polynomial of CRC-32.
+_SQL_CRC = """
+crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+                          lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)),
+crcs AS (
+  SELECT conv_id, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(1, len(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))),
+    lambda a, b: xor(a >> 8, list_extract(t, CAST((xor(a, b) & 255) + 1 AS INTEGER))))) AS crc
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table)
+"""
+
+
+@query("op13_prefix_trie", f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                            md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+{_SQL_CRC},
+lengths AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
+convs AS (
+  SELECT c.conv_id, c.conv_id - c.conv_id % 100 AS parent, crc % 6 AS h, least(crc % 6, coalesce(n, 0)) AS taken
+  FROM crcs c LEFT JOIN lengths l ON l.conv_id = c.conv_id - c.conv_id % 100),
+rebuilt AS (
+  SELECT c.conv_id, place AS pos, role, text FROM convs c JOIN turns t ON t.conv_id = parent AND place <= h
+  UNION ALL SELECT c.conv_id, taken + place - h, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND place > h),
+sequences AS (
+  SELECT c.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS s
+  FROM convs c LEFT JOIN rebuilt r USING (conv_id) GROUP BY c.conv_id),
+prefixes AS (
+  SELECT conv_id, len(s) AS n, d, s[1:d] AS node
+  FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM sequences)),
+found AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, sum(CASE WHEN n = d THEN 0 ELSE 1 END) = 0 AS is_leaf,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ends
+  FROM prefixes GROUP BY node, d),
+below AS (
+  SELECT node[1:e] AS top, e, sum((n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE length(node[d].text) END) AS saved,
+         sum(CASE WHEN is_leaf THEN 1 ELSE 0 END) AS leaves, sum(CASE WHEN d = e + 1 THEN 1 ELSE 0 END) AS children
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM found) GROUP BY 1, 2)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, CAST(b.children AS BIGINT) AS n_children,
+       CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM found f JOIN below b ON b.top = f.node AND b.e = f.d LEFT JOIN found p ON f.d > 0 AND p.d = f.d - 1 AND p.node = f.node[1:f.d - 1]
+""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.ordered_turns(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return trie.nodes(trie.rebuilt(turns))

@@ -41,7 +41,7 @@ def test_detector_data_sizes(spark, codes, caps, train, test):
     assert data.test.columns == ["row_id", "sentence", "lang", "is_target"]
 
 
-@pytest.mark.parametrize("kind, settings", [("naive_bayes", {}), ("logreg", {"max_iter": 15, "buckets": 4096}), ("linear_svm", {"max_iter": 8, "buckets": 4096})])
+@pytest.mark.parametrize("kind, settings", [("naive_bayes", {}), ("logreg", {}), ("linear_svm", {})])
 def test_detectors_learn(corpus, codes, kind, settings):
     data = jobs.detector_data(corpus.where("lang = 'fra'"), corpus, "French", codes)
     model, scores = jobs.train_detector(data, codes, kind, **settings)
@@ -53,12 +53,55 @@ def test_detectors_learn(corpus, codes, kind, settings):
 
 def test_linear_models_tell_many_labels_apart(corpus):
     for train in (linear.train_logreg, linear.train_linear_svm):
-        model = train(corpus, label_col="lang", max_iter=8, buckets=4096)
+        model = train(corpus, label_col="lang")
         preds = model.predict(corpus)
         assert metrics.accuracy(preds).first()[0] == 1.0
         assert preds.columns == ["row_id", "lang", "pred", "confidence", "raw_output"]
         sure = preds.agg(F.min("confidence")).first()[0]
         assert sure is None if train is linear.train_linear_svm else 1 / 3 < sure <= 1.0
+        good = linear.optimality(model, "hinge" if sure is None else "logistic").collect()
+        assert sorted(r["label"] for r in good) == ["deu", "eng", "fra"] and all(r["in_range"] and r["weights_match"] for r in good)
+
+
+def test_linear_models_reach_the_optimum(spark, corpus):
+    """One block or many: the same weights, and the ones that a dense solver finds."""
+    import numpy as np
+
+    train = corpus.where("lang <> 'deu'").withColumn("label", F.col("lang"))
+    for fit, loss, tol, settings in ((linear.train_logreg, "logistic", 1e-2, {}), (linear.train_linear_svm, "hinge", 1e-3, {"alpha": 0.05})):
+        models = [fit(train, lo=2, hi=3, block_entries=size, tol=tol, max_iter=80, **settings) for size in (10**9, 800)]
+        values = []
+        for model in models:
+            row = linear.optimality(model, loss).first()
+            assert row["in_range"] and row["weights_match"] and row["rows"] == 24
+            assert row["gradient"] <= tol if loss == "logistic" else row["gap"] <= tol
+            values.append(row["primal"])
+        assert values[0] == pytest.approx(values[1], rel=2e-2)
+        assert models[1].rows.agg(F.sum(F.size("ids"))).first()[0] > 800
+        if loss == "logistic":
+            rows = models[1].rows.orderBy("row_no").collect()
+            places = {f: i for i, f in enumerate(sorted({f for r in rows for f in r["ids"]}))}
+            x, y, c = np.zeros((len(rows), len(places))), np.array([1.0 if r["label"] else -1.0 for r in rows]), np.array([r["weight"] for r in rows])
+            for i, r in enumerate(rows):
+                x[i, [places[f] for f in r["ids"]]] = r["xs"]
+            w, n = np.zeros(len(places)), len(rows)
+            for _ in range(50):
+                p = 1 / (1 + np.exp(y * (x @ w)))
+                gradient = w / n - x.T @ (c * y * p) / n
+                w -= np.linalg.solve(np.eye(len(w)) / n + (x * (c * p * (1 - p))[:, None]).T @ x / n, gradient)
+            found = np.zeros(len(places))
+            for r in models[1].solution.weights.collect():
+                found[places[r["feature_id"]]] = r["w"][0]
+            assert np.abs(found - w).max() < 0.1
+
+
+def test_linear_models_keep_every_row(spark, corpus):
+    model = linear.train_logreg(corpus.where("lang <> 'deu'").withColumn("label", F.col("lang")))
+    odd = spark.createDataFrame([(1, "the cat", "a"), (1, "le chat", "a"), (1, "the cat", "a"), (None, None, "b"), (None, "", "b"), (2, "##", "c")], "row_id bigint, sentence string, lang string")
+    found = sorted((str(r["row_id"]), r["lang"], r["pred"], round(r["confidence"], 6)) for r in model.predict(odd).collect())
+    assert len(found) == 6 and len(set(found)) == 4 and {p for i, _, p, _ in found if i == "1"} == {"eng", "fra"}
+    with pytest.raises(ValueError):
+        linear.train_logreg(corpus.where("lang = 'deu'").withColumn("label", F.col("lang")))
 
 
 def test_naive_bayes_agrees_with_ml(corpus, spark):
@@ -86,6 +129,9 @@ def test_evaluate_job(spark, codes, corpus, tmp_path):
     assert {r["lang"] for r in result.per_language.collect()} == {"eng", "fra"}
     stored = runs.read_runs(spark, str(tmp_path)).first()
     assert stored["model"] == "nb-2shot" and stored["dataset"] == "my/set" and stored["n"] == 8
+    kept = runs.read_predictions(spark, str(tmp_path), result.run_id)
+    assert {"row_id", "sentence", "lang", "pred", "confidence", "raw_output"} <= set(kept.columns) and kept.count() == 8
+    assert runs.published_log(spark, str(tmp_path)).first()["run_id"] == result.run_id
     whole, none = jobs.evaluate_job(corpus, model, codes, "d")
     assert whole.overall.first()["n"] == 36 and none.count() == 0
 
@@ -147,8 +193,8 @@ def test_prompts(spark):
     assert turns[1]["content"] == "Text:\nhello\n\nISO 639-3 code:" and turns[2]["content"] == "eng"
     assert turns[3]["content"] == "Text:\nbonjour\n\nISO 639-3 code:"
     assert "ISO 639-3" in turns[0]["content"]
-    with pytest.raises(ValueError):
-        prompts.prompt_table(df, [("x", "eng")] * 11)
+    many = prompts.prompt_table(df, [(f"x{i}", "eng") for i in range(40)]).first()["messages"]
+    assert len(many) == 82 and many[79]["content"] == "Text:\nx39\n\nISO 639-3 code:"
     assert prompts.run_label("m", 0) == "m" and prompts.run_label("m", 2) == "m-2shot"
 
 

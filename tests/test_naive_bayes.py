@@ -10,6 +10,7 @@ from tests.test_text import plain_grams
 from tongueprint.functions.hashing import GramSpec
 from tongueprint.operators import grams, naive_bayes
 from tongueprint.operators.lookup import BROADCAST_LIMIT
+from tongueprint.session import materialize
 from tongueprint.operators.scorers import ProfileDetector
 
 ROWS = "row_id int, lang string, sentence string"
@@ -162,11 +163,68 @@ def test_one_row_out_for_every_row_in(spark):
         assert counted == wanted
 
 
+def text_scans(df):
+    """Scans in the plan that read sentences; paths may be shortened there, the schema read is not."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("FileScan" in line and "ReadSchema" in line and "sentence" in line.split("ReadSchema")[1] for line in plan.splitlines())
+
+
 def test_many_labels_read_the_texts_once(spark, tmp_path):
     train = [(i, f"l{i:03d}", f"w{i:03d} common") for i in range(120)]
     model = naive_bayes.fit(spark.createDataFrame(train, ROWS), GramSpec())
     spark.createDataFrame(train, ROWS).write.parquet(str(tmp_path / "texts"))
     out = model.predict(spark.read.parquet(str(tmp_path / "texts")))
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert sum(line.count("FileScan") and "texts" in line for line in plan.splitlines()) == 1
+    assert text_scans(out) == 1
     assert all(r["pred"] == r["lang"] for r in out.collect())
+
+
+def test_frequent_words_first(spark, monkeypatch):
+    """Where not all words fit, the frequent ones are scored ahead and the others unfolded: the same scores."""
+    train = spark.createDataFrame(TRAIN, ROWS)
+    test = spark.createDataFrame([(i, "eng", f"the cat {'le' * (i % 3)} w{i} chat") for i in range(30)], ROWS)
+    model = naive_bayes.fit(train)
+    whole = sorted((r["row_id"], r["lang"], round(r["score"], 9)) for r in model.score_table(test).collect())
+    ready = model.prepare()
+    monkeypatch.setattr(ready, "limit", 600)
+    assert 0 < ready.words_of(test).count() < 10
+    few = ready.predict(test, keep=(), with_scores=True).select("row_id", F.inline("scores")).collect()
+    assert sorted((r["row_id"], r["label"], round(r["score"], 9)) for r in few) == whole
+
+
+def rows_of_tasks(df):
+    return sorted(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+
+
+def test_a_model_too_large_to_send(spark):
+    """300 labels: lists of gains, one scan, and no task with much more than the others though two n-grams are in every text."""
+    import random
+
+    rng = random.Random(3)
+    train = [(i, f"l{i % 300:03d}", f"q{i % 300:03d} " + " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12))) for i in range(600)]
+    model = naive_bayes.fit(spark.createDataFrame(train, ROWS), GramSpec())
+    test = spark.createDataFrame([(i, label, text + " ##") for i, label, text in train], ROWS).repartition(8)
+    dense = {(r["row_id"], r["lang"]): r["score"] for r in model.score_table(test).collect()}
+    assert model.dense_bytes() > 2_000_000
+    for limit in (0, 100_000, 2_000_000):
+        sparse = {(r["row_id"], r["lang"]): r["score"] for r in model.score_table(test, broadcast_limit=limit).collect()}
+        assert sparse.keys() == dense.keys() and len(sparse) == 180_000
+        assert max(abs(sparse[k] - dense[k]) for k in dense) < 1e-6
+    out = model.predict(test, broadcast_limit=100_000)
+    assert sum(r["pred"] == r["lang"] for r in out.collect()) > 590
+
+
+def test_hot_keys_are_salted_by_their_count(spark):
+    from tongueprint.operators.lookup import salted_by_count
+
+    left = materialize(spark.range(40_000).select("id", F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id") % 997).alias("k")), "test")
+    values = spark.range(-1, 997).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = salted_by_count(left, values, "k", ["id"])
+        tasks = rows_of_tasks(joined)
+        assert joined.where("v = 3 * k").count() == 40_000
+        assert tasks[-1] <= 3 * tasks[len(tasks) // 2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

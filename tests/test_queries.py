@@ -22,12 +22,6 @@ def test_query(spark, duck, name):
     assert differences(spark, duck, name, SF_DIR) is None
 
 
-@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
-@pytest.mark.parametrize("name", ["op7_top_k", "op10_mix"])
-def test_operator_query(spark, duck, name):
-    assert differences(spark, duck, name, SF_DIR) is None
-
-
 def test_sql_belongs_to_queries():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     assert set(catalog.QUERIES) - set(catalog.SQL) == {"logreg_detector", "svm_detector"}

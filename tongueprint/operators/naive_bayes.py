@@ -19,14 +19,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tongueprint.functions.hashing import GramSpec
-from tongueprint.functions.text import WHITESPACE, explode_grams
+from tongueprint.functions.text import WHITESPACE, explode_grams, explode_tokens
 from tongueprint.operators.grams import label_gram_counts
-from tongueprint.operators.lookup import BROADCAST_LIMIT, salted_join
-from tongueprint.session import cluster, materialize
+from tongueprint.operators.lookup import BROADCAST_LIMIT, salted_by_count
+from tongueprint.session import materialize
 from tongueprint.sources.corpus import LANG, TEXT
 
 # Labels whose sums are columns of one row: few enough for generated code.
 LABEL_BLOCK = 40
+# Words scored ahead where not all fit.
+MOST_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -76,101 +78,223 @@ class NaiveBayesModel:
 
         ``keep`` columns ride along as grouping keys, so no join back is needed to score predictions. Rows of equal id stay
         apart: the text's hash is a key too, and rows equal in all keys are counted and given back as often.
-        Equal scores (to 6 decimals) go to the smaller label. The texts are read and unfolded once for any number of
-        labels; sums of ``label_block`` labels are columns of one aggregation, and each block leaves one small row per
-        text (its best label and its share of the softmax), which is all that is shuffled.
+        Equal scores (to 6 decimals) go to the smaller label. While features times labels fit ``broadcast_limit``, each text
+        meets its sums in place (``Prepared``); a larger model is joined feature by feature (``_sparse_scores``).
         """
-        keys = [id_col, *keep]
-        constants = self.constants()
-        scored = self._block_scores(df, keys, text_col, constants, label_block, broadcast_limit)
+        if self.dense_bytes() <= broadcast_limit:
+            return self.prepare(broadcast_limit).predict(df, id_col, keep, text_col, with_scores, label_block)
+        keys, constants = [id_col, *keep], self.constants()
         own = [*keys, "_text", "_copies"]
-        parts = scored.select(*own, *_decide(F.col("scores")), *(["scores"] if with_scores else []))
-        best = parts if len(constants) <= label_block else _best_of_blocks(parts, own, with_scores)
-        once_each = best.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        pred = F.col("_best.label")
-        return once_each.select(
-            *keys, pred.alias("pred"), (F.exp(F.col("_best.score") - F.col("_top")) / F.col("_mass")).alias("confidence"),
-            pred.alias("raw_output"), *(["scores"] if with_scores else []),
-        )
+        scored = self._sparse_scores(df, keys, text_col, constants, broadcast_limit)
+        best = scored.select(*own, *_decide(F.col("scores")), *(["scores"] if with_scores else []))
+        return _answers(best, keys, with_scores)
 
-    def score_table(self, df: DataFrame, id_col: str = "row_id", text_col: str = TEXT) -> DataFrame:
+    def prepare(self, broadcast_limit: int = BROADCAST_LIMIT) -> Prepared:
+        """The model ready to score any number of frames: its gains are tabled once, here."""
+        return Prepared(self, broadcast_limit)
+
+    def score_table(self, df: DataFrame, id_col: str = "row_id", text_col: str = TEXT, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
         """``(id, lang, score)``: the joint log-likelihood of every label for every row."""
-        scored = self.predict(df, id_col, (), text_col, with_scores=True)
+        scored = self.predict(df, id_col, (), text_col, with_scores=True, broadcast_limit=broadcast_limit)
         return scored.select(id_col, F.inline("scores")).withColumnsRenamed({"label": LANG})
 
-    def _features(self, df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-        """``(keys, _text, feature, _first)``, a row per n-gram; a text without any keeps one row, with a null feature.
+    def dense_bytes(self) -> int:
+        """Size of the gains with a number for every feature and label."""
+        row = self.counts.agg(F.count_distinct("feature").alias("features"), F.count_distinct(LANG).alias("labels")).first()
+        return row["features"] * (64 + 8 * row["labels"])
+
+    def _features(self, words: DataFrame, own: list[str], carry: Sequence[str] = ()) -> DataFrame:
+        """``(own, carry, feature, _first)``, a row per n-gram of ``token``; a null token keeps one row, with a null feature.
 
-        ``_text`` is the text's hash; ``_first`` is true in one of the rows of each text.
+        ``_first`` is true in one of the rows of each text.
         """
-        words = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), WHITESPACE)
-        own = [*keys, "_text"]
-        # The first word may be empty, before leading blanks: its row counts the text, with a null feature.
-        tokens = df.select(*keys, F.xxhash64(text_col).alias("_text"), F.posexplode(words).alias("_word", "token"))
-        tokens = tokens.withColumn("token", F.nullif(F.col("token"), F.lit("")))
-        grams = explode_grams(tokens, self.spec.lo, self.spec.hi, [*own, "_word"], outer=True, first="_begins")
+        grams = explode_grams(words, self.spec.lo, self.spec.hi, [*own, *carry, "_word"], outer=True, first="_begins")
         first = F.col("_begins") & (F.col("_word") == 0)
-        return grams.select(*own, self.spec.feature(F.col("gram")).alias("feature"), first.alias("_first"))
+        return grams.select(*own, *carry, self.spec.feature(F.col("gram")).alias("feature"), first.alias("_first"))
 
-    def _block_scores(
-        self, df: DataFrame, keys: list[str], text_col: str, constants: list[LabelConstants], size: int, limit: int
+    def _sparse_scores(
+        self, df: DataFrame, keys: list[str], text_col: str, constants: list[LabelConstants], limit: int
     ) -> DataFrame:
-        """``(keys, _text, _copies, scores)``, a row per text and block of labels.
+        """``(keys, _text, _copies, scores)`` for a model too large to send: gains stay lists of the labels that have any.
 
-        ``scores`` is ``array<struct<label, score>>``. Every counted feature is in the gain table, so the join also tells
-        which n-grams are known. Each n-gram meets all its gains at once and goes on once per block.
+        The most frequent features, as many as fit ``limit``, are sent as lists and met in place; they make up most of any text.
+        N-grams of the rest are added up per text and shuffled to their lists, which are short, as a rare feature
+        was seen under few labels. A feature of so many texts that it would fill a task is spread over as many salts as its
+        own count asks for. The texts are read once.
         """
-        blocks = [constants[i:i + size] for i in range(0, len(constants), size)]
-        labels = df.sparkSession.createDataFrame(
-            [(number, place, c.label, c.prior, c.unseen) for number, block in enumerate(blocks) for place, c in enumerate(block)],
-            "_block int, _at int, label string, prior double, unseen double",
+        spark, own, hashed = df.sparkSession, [*keys, "_text"], self.spec.buckets is not None
+        places = spark.createDataFrame([(c.label, i) for i, c in enumerate(constants)], f"{LANG} string, _place int")
+        entries = materialize(
+            self.counts.join(F.broadcast(places), LANG).groupBy("feature").agg(
+                F.sum("n").alias("_total"), F.collect_list(F.struct("_place", self.gain(F.col("n")).alias("_gain"))).alias("_list")
+            ), "nb-sparse",
+        )
+        # Frequency classes from the top down while their lists fit the limit: a row per class reaches the driver.
+        rank = F.floor(F.log2("_total") * 8)
+        sizes = entries.groupBy(rank.alias("rank")).agg(F.sum(64 + 16 * F.size("_list")).alias("bytes")).orderBy(F.desc("rank")).collect()
+        room, cut, whole = limit, float("inf"), True
+        for row in sizes:
+            room -= row["bytes"]
+            if room < 0:
+                whole = False
+                break
+            cut = row["rank"]
+        heavy = entries.where(rank >= F.lit(cut)).select("feature", "_list")
+        met = self._features(_words(df, keys, text_col), own).join(F.broadcast(heavy), "feature", "left")
+        unfolded = met.select(*own, "_first", "feature", F.col("_list").isNull().alias("_rare"), F.posexplode_outer("_list").alias("_pos", "_entry"))
+        once = F.coalesce("_pos", F.lit(0)) == 0
+        rare = F.when(F.col("_rare"), F.col("feature")) if not whole else F.lit(None).cast(dict(entries.dtypes)["feature"])
+        counts = F.col("feature").isNotNull() if hashed else ~F.col("_rare")
+        parts = materialize(
+            unfolded.groupBy(*own, F.col("_entry._place").alias("_place"), rare.alias("_tail")).agg(
+                F.sum("_entry._gain").alias("_sum"), F.count_if(once & counts).alias("_grams"),
+                F.count_if(once & F.col("_first")).alias("_firsts"), F.count_if(once & F.col("feature").isNotNull()).alias("_times"),
+            ), "nb-parts",
         )
-        placed = labels.select(F.col("label").alias(LANG), (F.col("_block") * size + F.col("_at")).alias("_place"))
-        places = list(range(len(constants)))
+        sums = parts.select(*own, "_place", "_sum", "_grams", "_firsts")
+        if not whole:
+            tail = salted_by_count(parts.where(F.col("_tail").isNotNull()).select(*own, "_tail", "_times"),
+                                   entries.where(rank < F.lit(cut)).select(F.col("feature").alias("_tail"), "_list"), "_tail", own)
+            each = tail.select(*own, "_times", F.posexplode("_list").alias("_pos", "_entry"))
+            known = F.lit(0) if hashed else F.when(F.col("_pos") == 0, F.col("_times")).otherwise(0)
+            sums = sums.unionByName(each.select(
+                *own, F.col("_entry._place").alias("_place"), (F.col("_times") * F.col("_entry._gain")).alias("_sum"),
+                known.cast("long").alias("_grams"), F.lit(0).cast("long").alias("_firsts"),
+            ))
+        per_label = sums.groupBy(*own, "_place").agg(*[F.sum(c).alias(c) for c in ("_sum", "_grams", "_firsts")])
+        entry = F.struct("_place", (F.col("_sum")).alias("_sum"))
+        per_text = per_label.groupBy(*own).agg(
+            F.sum("_firsts").alias("_copies"), F.sum("_grams").alias("_grams"),
+            F.map_from_entries(F.collect_list(F.when(F.col("_place").isNotNull(), entry))).alias("_gained"),
+        )
+        labels = _label_array(spark, constants)
+        scores = F.transform("_labels", lambda c: F.struct(
+            c["label"].alias("label"),
+            (c["prior"] + (F.col("_grams") * c["unseen"] + F.coalesce(F.try_element_at("_gained", c["_at"]), F.lit(0.0))) / F.col("_copies")).alias("score"),
+        ))
+        return per_text.join(F.broadcast(labels)).select(*own, "_copies", scores.alias("scores"))
+
+
+class Prepared:
+    """A model whose gains fit in memory, ready to score frame after frame; ``predict`` only declares a plan.
+
+    ``gains(feature, gains)`` has one number per label for each feature. Words that recur need not be unfolded each time:
+    ``words_of`` scores the most frequent words of a frame once, and the frame's other words are unfolded.
+    """
+
+    def __init__(self, model: NaiveBayesModel, limit: int = BROADCAST_LIMIT):
+        self.model, self.limit, self.name = model, limit, model.name
+        self.constants = model.constants()
+        spark, places = model.counts.sparkSession, list(range(len(self.constants)))
+        placed = spark.createDataFrame([(c.label, i) for i, c in enumerate(self.constants)], f"{LANG} string, _place int")
         # The labels came from the driver, a small row each, so sending them to every task adds nothing unbounded.
         table = (
-            self.counts.join(F.broadcast(placed), LANG, "left").select("feature", "_place", self.gain(F.col("n")).alias("_gain"))
+            model.counts.join(F.broadcast(placed), LANG, "left").select("feature", "_place", model.gain(F.col("n")).alias("_gain"))
             .groupBy("feature").pivot("_place", places).agg(F.sum("_gain"))
         )
-        gains = materialize(
+        self.gains = materialize(
             table.select("feature", F.array(*[F.coalesce(F.col(str(i)), F.lit(0.0)) for i in places]).alias("gains")), "nb-gains"
         )
+
+    def words_of(self, df: DataFrame, text_col: str = TEXT, label_block: int = LABEL_BLOCK) -> DataFrame:
+        """``(token, _wgains, _wgrams)``: sums of gains and number of known n-grams of the most frequent words of ``df``.
+
+        As many words as fit the limit; the cut is by count, so no more than those pass through a sort.
+        """
+        room = max(1, self.limit // (96 + 8 * len(self.constants)))
+        counted = materialize(explode_tokens(df, text_col, []).groupBy("token").agg(F.count("*").alias("_times")), "nb-vocabulary")
+        if counted.count() > room:
+            counted = counted.orderBy(F.desc("_times"), "token").limit(min(room, MOST_WORDS))
+        words = counted.select("token", F.lit(0).alias("_word"), F.col("token").alias("_own"))
+        sums = self._sums(self.model._features(words, ["_own"]).join(F.broadcast(self.gains), "feature", "left"), ["_own"], label_block)
+        if len(self.constants) > label_block:
+            entry = F.struct("_block", "_gained")
+            sums = sums.groupBy("_own").agg(F.max("_grams").alias("_grams"), F.array_sort(F.collect_list(entry)).alias("_parts"))
+            sums = sums.select("_own", "_grams", F.flatten(F.col("_parts._gained")).alias("_gained"))
+        return materialize(sums.select(F.col("_own").alias("token"), F.col("_gained").alias("_wgains"), F.col("_grams").alias("_wgrams")), "nb-words")
+
+    def predict(
+        self, df: DataFrame, id_col: str = "row_id", keep: Sequence[str] = (LANG,), text_col: str = TEXT, with_scores: bool = False,
+        label_block: int = LABEL_BLOCK,
+    ) -> DataFrame:
+        """As ``NaiveBayesModel.predict``, after scoring the words of ``df`` that recur most."""
+        return self.apply(df, id_col, keep, text_col, with_scores, label_block, self.words_of(df, text_col, label_block))
+
+    def apply(
+        self, df: DataFrame, id_col: str = "row_id", keep: Sequence[str] = (LANG,), text_col: str = TEXT, with_scores: bool = False,
+        label_block: int = LABEL_BLOCK, words: DataFrame | None = None,
+    ) -> DataFrame:
+        """Only a plan: nothing is run or written, so it suits the batches of a stream. ``words`` are words scored ahead."""
+        keys = [id_col, *keep]
         own = [*keys, "_text"]
-        if gains.count() * (64 + 8 * len(constants)) <= limit:
-            joined = self._features(df, keys, text_col).join(F.broadcast(gains), "feature", "left")
-            times, copies = None, F.count_if("_first")
-        else:
-            # The texts are clustered first, so n-grams of a text are counted in place before they travel.
-            features = self._features(cluster(df, keys[0]), keys, text_col)
-            counted = features.groupBy(*own, "feature").agg(F.count("*").alias("_tf"), F.count_if("_first").alias("_firsts"))
-            joined = salted_join(counted, gains, "feature", keys[0], "left")
-            times, copies = F.col("_tf"), F.sum("_firsts")
-        if len(blocks) > 1:
-            joined = joined.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(len(blocks) - 1))))
+        tokens = _words(df, keys, text_col)
+        if words is None:
+            joined = self.model._features(tokens, own).join(F.broadcast(self.gains), "feature", "left")
+            sums = self._sums(joined, own, label_block)
         else:
-            joined = joined.withColumn("_block", F.lit(0))
-        known = F.col("feature") if self.spec.buckets else F.col("gains")
-        grams = F.count(known) if times is None else F.sum(F.when(known.isNotNull(), times))
-        # The gains travel as one array: dozens of separate columns would make a method too long for the JIT.
-        widest = len(blocks[0])
-        each = [F.get("gains", F.col("_block") * size + i) for i in range(widest)]
-        each = each if times is None else [times * gain for gain in each]
-        sums = joined.groupBy(*own, "_block").agg(
-            copies.alias("_copies"), F.coalesce(grams, F.lit(0)).alias("_grams"),
-            *[F.coalesce(F.sum(gain), F.lit(0.0)).alias(f"_s{i}") for i, gain in enumerate(each)],
-        )
-        entry = F.struct("_at", "label", "prior", "unseen")
-        of_block = labels.groupBy("_block").agg(F.array_sort(F.collect_list(entry)).alias("_labels"))
-        gained = F.array(*[F.col(f"_s{i}") for i in range(widest)])
+            tokens = tokens.join(F.broadcast(words), "token", "left")
+            # A word that is already scored is not unfolded: without a token it stays one row.
+            tokens = tokens.withColumn("token", F.when(F.col("_wgrams").isNull(), F.col("token")))
+            joined = self.model._features(tokens, own, ["_wgains", "_wgrams"]).join(F.broadcast(self.gains), "feature", "left")
+            sums = self._sums(joined.withColumn("gains", F.coalesce("_wgains", "gains")), own, label_block, F.col("_wgrams"))
+        of_block = _label_array(df.sparkSession, self.constants, label_block)
         # Sums over equal texts are as many times too large.
-        per_text = sums.select(
-            *own, "_block", "_copies", (F.col("_grams") / F.col("_copies")).alias("_grams"), gained.alias("_gained")
-        ).join(F.broadcast(of_block), "_block")
         scores = F.transform("_labels", lambda c: F.struct(
             c["label"].alias("label"),
-            (c["prior"] + F.col("_grams") * c["unseen"] + F.get("_gained", c["_at"]) / F.col("_copies")).alias("score"),
+            (c["prior"] + (F.col("_grams") * c["unseen"] + F.get("_gained", c["_at"])) / F.col("_copies")).alias("score"),
         ))
-        return per_text.select(*own, "_copies", scores.alias("scores"))
+        scored = sums.join(F.broadcast(of_block), "_block").select(*own, "_copies", scores.alias("scores"))
+        kept = [*own, "_copies"]
+        parts = scored.select(*kept, *_decide(F.col("scores")), *(["scores"] if with_scores else []))
+        best = parts if len(self.constants) <= label_block else _best_of_blocks(parts, kept, with_scores)
+        return _answers(best, keys, with_scores)
+
+    def _sums(self, joined: DataFrame, own: list[str], size: int, ready: Column | None = None) -> DataFrame:
+        """``(own, _block, _copies, _grams, _gained)`` of rows that carry an array of gains.
+
+        Sums of ``size`` labels are columns of one aggregation; a row goes on once per block of labels. The gains travel as
+        one array: dozens of separate columns would make a method too long for the JIT.
+        """
+        blocks = -(-len(self.constants) // size)
+        block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0)
+        joined = joined.withColumn("_block", block)
+        widest = min(size, len(self.constants))
+        known = (F.col("feature") if self.model.spec.buckets else F.col("gains")).isNotNull() & F.col("feature").isNotNull()
+        grams = F.when(known, 1).otherwise(0)
+        grams = grams if ready is None else F.coalesce(ready, grams)
+        each = [F.coalesce(F.sum(F.get("gains", F.col("_block") * size + i)), F.lit(0.0)).alias(f"_s{i}") for i in range(widest)]
+        sums = joined.groupBy(*own, "_block").agg(F.count_if("_first").alias("_copies"), F.sum(grams).cast("long").alias("_grams"), *each)
+        # The last block may be shorter than the others.
+        length = F.least(F.lit(widest), F.lit(len(self.constants)) - F.col("_block") * size)
+        gained = F.slice(F.array(*[F.col(f"_s{i}") for i in range(widest)]), F.lit(1), length)
+        return sums.select(*own, "_block", "_copies", "_grams", gained.alias("_gained"))
+
+
+def _words(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """``(keys, _text, _word, token)``: a row per word with its place; ``_text`` is the text's hash.
+
+    The first word may be empty, before leading blanks or in a text without words: its row stands for the text, with a null token.
+    """
+    words = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), WHITESPACE)
+    tokens = df.select(*keys, F.xxhash64(text_col).alias("_text"), F.posexplode(words).alias("_word", "token"))
+    return tokens.withColumn("token", F.nullif(F.col("token"), F.lit("")))
+
+
+def _label_array(spark: SparkSession, constants: list[LabelConstants], size: int | None = None) -> DataFrame:
+    """``(_block, _labels)``: what scoring needs of the labels, in one row per block of ``size`` labels (one block if None)."""
+    size = size or len(constants)
+    rows = [(i // size, i % size, c.label, c.prior, c.unseen) for i, c in enumerate(constants)]
+    labels = spark.createDataFrame(rows, "_block int, _at int, label string, prior double, unseen double")
+    return labels.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("_at", "label", "prior", "unseen"))).alias("_labels"))
+
+
+def _answers(best: DataFrame, keys: list[str], with_scores: bool) -> DataFrame:
+    once_each = best.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    pred = F.col("_best.label")
+    return once_each.select(
+        *keys, pred.alias("pred"), (F.exp(F.col("_best.score") - F.col("_top")) / F.col("_mass")).alias("confidence"),
+        pred.alias("raw_output"), *(["scores"] if with_scores else []),
+    )
 
 
 def fit(

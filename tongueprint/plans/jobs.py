@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from tongueprint.functions.hashing import GramSpec
 from tongueprint.operators import linear, metrics, naive_bayes, sampling
-from tongueprint.operators.scorers import Scorer
+from tongueprint.operators.prompts import run_label
+from tongueprint.operators.scorers import Scorer, with_predictions
 from tongueprint.session import materialize
 from tongueprint.sources.codes import CodeTable
 from tongueprint.sources.corpus import LANG, TEXT
-from tongueprint.sources.runs import save_run
+from tongueprint.sources.runs import read_predictions, save_run
 
 # Fixed value: the label of every row that is not the target language.
 OTHER = "other"
@@ -26,15 +27,27 @@ class Evaluation:
     overall: DataFrame
     per_language: DataFrame
     predictions: DataFrame
+    run_id: str | None = None
 
 
-def evaluate(df: DataFrame, scorer: Scorer, codes: CodeTable, id_col: str = "row_id", keep: Sequence[str] = (LANG,)) -> Evaluation:
-    """Score rows with a gold ``lang``: the predictions are written once, all metrics read that table."""
-    raw = scorer.predict(df, id_col=id_col, keep=list(keep))
-    preds = materialize(metrics.normalize_predictions(raw, codes), "predictions")
+def evaluate(
+    df: DataFrame, scorer: Scorer, codes: CodeTable, id_col: str = "row_id", root: str | None = None, dataset: str = "",
+    label: str | None = None, experiment: str = "",
+) -> Evaluation:
+    """Score rows with a gold ``lang``: the predictions, beside all columns of ``df``, are written once and all metrics read that table.
+
+    With ``root`` they are written as a saved run, published with its scores and its log line.
+    """
+    preds = metrics.normalize_predictions(with_predictions(df, scorer, id_col), codes)
+    run_id = None
+    if root is None:
+        preds = materialize(preds, "predictions")
+    else:
+        run_id = save_run(root, preds, codes, label or scorer.name, dataset, experiment)
+        preds = read_predictions(df.sparkSession, root, run_id)
     summary = metrics.overall(preds).withColumn("model", F.lit(scorer.name))
     return Evaluation(
-        summary.select("model", "n", "n_languages", "accuracy", "macro_f1"), metrics.per_language(preds, codes), preds
+        summary.select("model", "n", "n_languages", "accuracy", "macro_f1"), metrics.per_language(preds, codes), preds, run_id
     )
 
 
@@ -55,11 +68,7 @@ def evaluate_job(
         rows = sampling.sample_per_language(rows, n, codes, languages, seed, id_col)
     elif languages is not None:
         rows = sampling.filter_languages(rows, languages, codes)
-    result = evaluate(rows, scorer, codes, id_col)
-    if root is not None:
-        label = f"{scorer.name}-{shot}shot" if shot else scorer.name
-        save_run(root, result.predictions, codes, label, dataset)
-    return result, picked
+    return evaluate(rows, scorer, codes, id_col, root, dataset, run_label(scorer.name, shot)), picked
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tongueprint.functions.hashing import GramSpec
-from tongueprint.operators import grams, metrics, naive_bayes, sampling
+from tongueprint.operators import grams, linear, metrics, naive_bayes, sampling
 from tongueprint.operators.scorers import ProfileDetector, PythonScorer
 from tongueprint.plans import jobs
 from tongueprint.plans.catalog import (
@@ -17,8 +17,9 @@ from tongueprint.plans.catalog import (
     sql_fraction, sql_grams, sql_key, table, web_pages,
 )
 from tongueprint.plans.queries_sampling import _SQL_DETECTOR, french_detector_data
-from tongueprint.session import shared_dir
-from tongueprint.sources.corpus import LANG, TEXT, constant_corpus
+from tongueprint.session import shared_dir, spread
+from tongueprint.sources import runs
+from tongueprint.sources.corpus import LANG, TEXT, constant_corpus, labelled_corpus
 from tongueprint.streaming import incremental
 
 # Buckets by md5, so that SQL can repeat them; VOCABULARY keeps the grams themselves.
@@ -168,6 +169,24 @@ def nb_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(naive_bayes.fit(train, HASHED).score_table(test), "score", digits=4)
 
 
+# So small that most gains of a model have to be joined and cannot be sent.
+SMALL_LIMIT = 2**18
+
+
+@query("nb_predict_large_model", f"WITH {_SQL_HASHED} SELECT row_id, pred, round(confidence, 6) AS confidence FROM m_preds")
+def nb_predict_large_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for models too large to send: frequent features as lists, the rest by joins."""
+    train, test = _split(spark, sf_dir)
+    found = naive_bayes.fit(train, HASHED).predict(test, broadcast_limit=SMALL_LIMIT)
+    return rounded(found.select("row_id", "pred", "confidence"), "confidence")
+
+
+@query("nb_scores_large_vocabulary", f"WITH {_SQL_VOCABULARY} SELECT row_id, label AS lang, round(score, 4) AS score FROM m_scores")
+def nb_scores_large_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _split(spark, sf_dir)
+    return rounded(naive_bayes.fit(train, VOCABULARY).score_table(test, broadcast_limit=SMALL_LIMIT), "score", digits=4)
+
+
 @query("nb_predict_vocabulary", f"WITH {_SQL_VOCABULARY} SELECT row_id, lang, pred, round(confidence, 6) AS confidence FROM m_preds")
 def nb_predict_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_predictions(spark, sf_dir, VOCABULARY).drop("raw_output"), "confidence")
@@ -296,17 +315,41 @@ def detector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("logreg_detector")
 def logreg_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Iterative fit, so decisions are tested by their quality rather than against SQL."""
-    _, scores = jobs.train_detector(french_detector_data(spark, sf_dir), codes_of(spark), "logreg", max_iter=100)
+    """An iterative fit: what it reached is in ``logreg_optimality``."""
+    _, scores = jobs.train_detector(french_detector_data(spark, sf_dir), codes_of(spark), "logreg")
     return rounded(scores, "precision", "recall", "f1", "accuracy", digits=3)
 
 
 @query("svm_detector")
 def svm_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, scores = jobs.train_detector(french_detector_data(spark, sf_dir), codes_of(spark), "linear_svm", max_iter=20)
+    _, scores = jobs.train_detector(french_detector_data(spark, sf_dir), codes_of(spark), "linear_svm")
     return rounded(scores, "precision", "recall", "f1", "accuracy", digits=3)
 
 
+_SQL_OPTIMAL = f"""
+WITH {_SQL_DETECTOR}
+SELECT 'other' AS label, count(*) AS rows, TRUE AS in_range, TRUE AS weights_match, TRUE AS within_tolerance FROM det_train
+"""
+
+
+@query("logreg_optimality", _SQL_OPTIMAL)
+def logreg_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has to hold of a fit with the default settings, worked out from its tables: no slope above the tolerance."""
+    model = linear.train_logreg(french_detector_data(spark, sf_dir).train)
+    found = linear.optimality(model, "logistic")
+    good = (F.col("gradient") <= 1e-4) & (F.col("gap") >= -1e-12)
+    return found.select("label", "rows", "in_range", "weights_match", good.alias("within_tolerance"))
+
+
+@query("svm_certificate", _SQL_OPTIMAL)
+def svm_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the hinge loss: the objective is within 1e-4 of its optimum."""
+    model = linear.train_linear_svm(french_detector_data(spark, sf_dir).train)
+    found = linear.optimality(model, "hinge")
+    good = (F.col("gap") <= 1e-4) & (F.col("gap") >= -1e-12)
+    return found.select("label", "rows", "in_range", "weights_match", good.alias("within_tolerance"))
+
+
 _MARKERS = {
     "deu": ["der", "die", "und", "ein"], "eng": ["the", "and", "of", "to"], "fra": ["le", "et", "les", "des"],
     "spa": ["el", "los", "las", "y"],
@@ -359,6 +402,19 @@ def stream_nb_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.streamed_model(spark, f"{folder}/model", HASHED).counts
 
 
+@query("stream_compacted_model", f"WITH {SQL_DOCS}, {sql_counts('m', 'docs', HASHED)} SELECT lang, feature, n FROM m_counts")
+def stream_compacted_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the files counted and compacted, then the rest counted and compacted onto that."""
+    rows = documents(spark, sf_dir)
+    stream, folder = _landed(spark, rows.where(F.col("row_id") % 2 == 0), batches=2)
+    incremental.count_stream(stream, f"{folder}/model", f"{folder}/offsets", HASHED).awaitTermination()
+    incremental.compact(spark, f"{folder}/model", HASHED)
+    rest = rows.where(F.coalesce(F.col("row_id") % 2, F.lit(1)) != 0)
+    rest.repartition(8, "row_id").write.mode("append").parquet(f"{folder}/in")
+    incremental.count_stream(stream, f"{folder}/model", f"{folder}/offsets", HASHED).awaitTermination()
+    return incremental.compact(spark, f"{folder}/model", HASHED).counts
+
+
 @query("stream_predict", f"WITH {_SQL_HASHED} SELECT row_id, lang, pred FROM m_preds")
 def stream_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _split(spark, sf_dir)
@@ -368,6 +424,42 @@ def stream_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("row_id", LANG, "pred")
 
 
+def _documents_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").withColumnRenamed("doc_id", "row_id")
+    return labelled_corpus(spread(raw, "row_id"), codes_of(spark), LANG, "text")
+
+
+@query("stream_latest_model", f"""
+WITH {_SQL_SPLIT}, {SQL_PAGES}, {sql_counts('m', 'page_docs', HASHED)}, {sql_predict('m', 'docs', HASHED)}
+SELECT p.row_id, d.text AS sentence, d.source, p.lang, p.pred, round(confidence, 6) AS confidence FROM m_preds p JOIN documents d ON d.doc_id = p.row_id
+""")
+def stream_latest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled as they land, by the last compacted model of a stream of pages, with text and source."""
+    pages, counted = _landed(spark, web_pages(spark, sf_dir), batches=2)
+    incremental.count_stream(pages, f"{counted}/model", f"{counted}/offsets", HASHED).awaitTermination()
+    incremental.compact(spark, f"{counted}/model", HASHED)
+    stream, folder = _landed(spark, _documents_with_source(spark, sf_dir), batches=2)
+    latest = incremental.LatestModel(f"{counted}/model", HASHED)
+    incremental.label_stream(stream, latest, f"{folder}/out", f"{folder}/offsets").awaitTermination()
+    found = spark.read.parquet(f"{folder}/out").select("row_id", TEXT, "source", LANG, "pred", "confidence")
+    return rounded(found, "confidence")
+
+
+@query("saved_predictions", f"""
+WITH {_SQL_SPLIT}, {SQL_PAGES}, {sql_counts('m', 'page_docs', HASHED)}, {sql_predict('m', 'docs', HASHED)}
+SELECT p.row_id, d.text AS sentence, d.source, p.lang, p.pred, round(confidence, 6) AS confidence, pred AS raw_output,
+       (SELECT count(*) FROM docs) AS logged_rows
+FROM m_preds p JOIN documents d ON d.doc_id = p.row_id
+""")
+def saved_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluated run read back: every row with its text, its other columns and its answer, beside the row count of its log line."""
+    model = naive_bayes.fit(web_pages(spark, sf_dir), HASHED, name="charngram-nb")
+    root = f"{shared_dir(spark)}/tongueprint/results-{uuid.uuid4().hex}"
+    result, _ = jobs.evaluate_job(_documents_with_source(spark, sf_dir), model, codes_of(spark), "documents", root)
+    logged = runs.published_log(spark, root).where(F.col("run_id") == result.run_id).select(F.col("n").alias("logged_rows"))
+    return rounded(runs.read_predictions(spark, root, result.run_id), "confidence").join(F.broadcast(logged))
+
+
 @query("evaluate_job", f"""
 WITH {SQL_DOCS}, {SQL_PAGES}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {sql_key(4, 'fewshot')}, row_id) AS rn, {sql_key(4, 'fewshot')} AS h FROM docs),

@@ -1,7 +1,7 @@
 """Saved evaluation runs: one summary row, per-language scores and predictions per run.
 
-Layout below a root: ``runs/run_id=<id>/`` and ``predictions/run_id=<id>/``. Each run owns its folders, so a
-repeated save replaces exactly that run, and reading all runs is one partitioned scan.
+Layout below a root: ``predictions/run_id=<id>/``, ``log/<id>/`` and ``runs/run_id=<id>/``, written in this order. Each run owns
+its folders, so a repeated save replaces exactly that run, and reading all runs is one partitioned scan.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tongueprint.operators import metrics
+from tongueprint.session import materialize
 from tongueprint.sources.codes import CodeTable
 from tongueprint.sources.corpus import LANG
 
@@ -31,6 +32,12 @@ JSON_SCHEMA = (
     f"n_languages bigint, per_language {PER_LANGUAGE}"
 )
 
+LOG_SCHEMA = (
+    "run_id string, model string, dataset string, timestamp string, accuracy double, macro_f1 double, "
+    "n bigint, n_languages bigint"
+)
+LOG_COLUMNS = [part.split()[0] for part in LOG_SCHEMA.split(", ")]
+
 
 def make_run_id(model: str, dataset: str, timestamp: str) -> str:
     return f"{model}_{dataset.replace('/', '_')}_{timestamp}"
@@ -58,9 +65,10 @@ def save_run(
     root: str, preds: DataFrame, codes: CodeTable, model: str, dataset: str, experiment: str = "",
     timestamp: str | None = None, fmt: str = "parquet",
 ) -> str:
-    """Write predictions and the scored run; returns the run id.
+    """Write predictions, log line and the scored run; returns the run id.
 
-    Predictions are written first and scored from the written table, so the model runs once.
+    Predictions are written first, with all their columns, and scored from the written table, so the model runs once. The run row comes last
+    and publishes the rest: readers look only at runs that have one, so a run that broke off is not seen.
     """
     spark = preds.sparkSession
     timestamp = timestamp or datetime.now(UTC).strftime(TIMESTAMP_FORMAT)
@@ -69,11 +77,24 @@ def save_run(
     preds.write.mode("overwrite").format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)
     reader = spark.read.schema(preds.schema)
     written = reader.csv(path, header=True) if fmt == "csv" else reader.format(fmt).load(path)
-    row = runs_table(written.withColumn("model", F.lit(model)), codes, dataset, timestamp, experiment)
+    row = materialize(runs_table(written.withColumn("model", F.lit(model)), codes, dataset, timestamp, experiment), "run")
+    row.select(*LOG_COLUMNS).coalesce(1).write.mode("overwrite").json(f"{root}/log/{run_id}")
     row.drop("run_id").coalesce(1).write.mode("overwrite").parquet(f"{root}/runs/run_id={run_id}")
     return run_id
 
 
+def read_predictions(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    """The predictions of a published run (saved as parquet), with every column they were saved with."""
+    load_run(read_runs(spark, root), run_id).first()
+    return spark.read.parquet(f"{root}/predictions/run_id={run_id}")
+
+
+def published_log(spark: SparkSession, root: str) -> DataFrame:
+    """The log lines of all published runs."""
+    lines = spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", True).json(f"{root}/log")
+    return lines.join(read_runs(spark, root).select("run_id").distinct(), "run_id", "left_semi").select(*LOG_COLUMNS)
+
+
 def save_runs(root: str, runs: DataFrame) -> None:
     """Write many run rows at once, each replacing its own folder only."""
     (
@@ -90,16 +111,11 @@ def export_run_json(runs: DataFrame, root: str, run_id: str) -> None:
 
 def append_run_log(runs: DataFrame, path: str) -> None:
     """Summary lines, one JSON object per run."""
-    summary = runs.select("run_id", "model", "dataset", "timestamp", "accuracy", "macro_f1", "n", "n_languages")
-    summary.coalesce(1).write.mode("append").json(path)
+    runs.select(*LOG_COLUMNS).coalesce(1).write.mode("append").json(path)
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    schema = (
-        "run_id string, model string, dataset string, timestamp string, accuracy double, macro_f1 double, "
-        "n bigint, n_languages bigint"
-    )
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(LOG_SCHEMA).json(path)
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:

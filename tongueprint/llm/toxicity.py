@@ -132,13 +132,19 @@ def ratios(counts: DataFrame, order: int) -> DataFrame:
     return of_runs.unionByName(of_contexts)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """``(id, text, toxic)`` of the rows that may be learnt from; each carries ``part``, a hash of its id."""
+def learnable(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``(id, toxic, part)`` of the labels that may be learnt from; ``part`` is a hash of the id."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
+    return known.withColumn("part", F.xxhash64(F.lit("part"), "id"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``(id, text, toxic)`` of the rows that may be learnt from; each carries ``part``, a hash of its id."""
+    known = learnable(labels, id_col, label_col)
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     small = known.count() <= SENT_LABELS
-    return texts.join(F.broadcast(known) if small else known, "id").withColumn("part", F.xxhash64(F.lit("part"), "id"))
+    return texts.join(F.broadcast(known) if small else known, "id")
 
 
 def train(
@@ -154,10 +160,14 @@ def train(
     counts = materialize(runs, "toxic-counts")
     table = materialize(ratios(counts, settings.order), "toxic-ratios")
 
-    # What the regression sees is bounded by max_rows, and so is what reaches the driver.
-    sample = rows.where(aside).orderBy("part", "id", "text").limit(settings.max_rows)
+    # What the regression sees is bounded by max_rows. The ids are chosen among the labels, so that the texts stay where they are
+    # and only their two numbers travel; the second limit is for ids that repeat.
+    first = learnable(labels, id_col, label_col).where(aside).select("part").orderBy("part").limit(settings.max_rows)
+    last = first.agg(F.max("part")).first()[0]
+    sample = rows.where(aside & (F.col("part") <= F.lit(last)))
     bare = Model(table, settings, (0.0, 0.0, 0.0))
-    seen = measure(sample.select("text", "toxic"), bare).select("per_char", "top", "toxic").toPandas()
+    numbers = measure(sample.select("part", "text", "toxic"), bare).select("part", "per_char", "top", "toxic")
+    seen = numbers.orderBy("part", "per_char", "top").limit(settings.max_rows).toPandas()
     return replace(bare, weights=logistic(seen[["per_char", "top"]].to_numpy(dtype=float), seen["toxic"].to_numpy(dtype=float)))
 
 

@@ -82,7 +82,7 @@ class NaiveBayesModel:
         meets its sums in place (``Prepared``); a larger model is joined feature by feature (``_sparse_scores``).
         """
         if self.dense_bytes() <= broadcast_limit:
-            return self.prepare(broadcast_limit).predict(df, id_col, keep, text_col, with_scores, label_block)
+            return self.prepare(broadcast_limit).apply(df, id_col, keep, text_col, with_scores, label_block)
         keys, constants = [id_col, *keep], self.constants()
         own = [*keys, "_text", "_copies"]
         scored = self._sparse_scores(df, keys, text_col, constants, broadcast_limit)
@@ -99,7 +99,9 @@ class NaiveBayesModel:
         return scored.select(id_col, F.inline("scores")).withColumnsRenamed({"label": LANG})
 
     def dense_bytes(self) -> int:
-        """Size of the gains with a number for every feature and label."""
+        """Size of the gains with a number for every feature and label; with few labels, its bound by the number of buckets."""
+        if self.spec.buckets and (bound := self.spec.buckets * (64 + 8 * self.classes.count())) <= BROADCAST_LIMIT // 4:
+            return bound
         row = self.counts.agg(F.count_distinct("feature").alias("features"), F.count_distinct(LANG).alias("labels")).first()
         return row["features"] * (64 + 8 * row["labels"])
 
@@ -217,7 +219,10 @@ class Prepared:
         self, df: DataFrame, id_col: str = "row_id", keep: Sequence[str] = (LANG,), text_col: str = TEXT, with_scores: bool = False,
         label_block: int = LABEL_BLOCK,
     ) -> DataFrame:
-        """As ``NaiveBayesModel.predict``, after scoring the words of ``df`` that recur most."""
+        """As ``NaiveBayesModel.predict``, after scoring the words of ``df`` that recur most.
+
+        It counts the words of ``df`` first, a pass of its own, and pays where words recur often: with some ten occurrences of a word or more.
+        """
         return self.apply(df, id_col, keep, text_col, with_scores, label_block, self.words_of(df, text_col, label_block))
 
     def apply(

@@ -32,6 +32,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,11 +56,15 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """``ratios(key, ratio)`` and the weights of (ratio per character, ratio of the most toxic word, one)."""
+    """``ratios(key, ratio)`` and the weights of (ratio per character, ratio of the most toxic word, one).
+
+    ``sent`` is the table as a broadcast variable, where it is small enough to be one.
+    """
 
     ratios: DataFrame
     settings: Settings
     weights: tuple[float, float, float]
+    sent: Broadcast | None = None
 
 
 def words_of(text: Column) -> Column:
@@ -165,7 +170,7 @@ def train(
     first = learnable(labels, id_col, label_col).where(aside).select("part").orderBy("part").limit(settings.max_rows)
     last = first.agg(F.max("part")).first()[0]
     sample = rows.where(aside & (F.col("part") <= F.lit(last)))
-    bare = Model(table, settings, (0.0, 0.0, 0.0))
+    bare = Model(table, settings, (0.0, 0.0, 0.0), send(table) if table.count() <= settings.ship_rows else None)
     numbers = measure(sample.select("part", "text", "toxic"), bare).select("part", "per_char", "top", "toxic")
     seen = numbers.orderBy("part", "per_char", "top").limit(settings.max_rows).toPandas()
     return replace(bare, weights=logistic(seen[["per_char", "top"]].to_numpy(dtype=float), seen["toxic"].to_numpy(dtype=float)))
@@ -207,21 +212,26 @@ class Ratios(dict):
         return total
 
 
+def send(table: DataFrame) -> Broadcast:
+    """The ratios to every task, once for all texts that are scored with them; as Arrow arrays they stay small on the driver."""
+    rows = table.toArrow()
+    return table.sparkSession.sparkContext.broadcast((rows["key"].combine_chunks(), rows["ratio"].combine_chunks()))
+
+
 def measure(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add ``per_char`` and ``top`` to every row; columns of these names are replaced."""
     settings = model.settings
     df = df.drop("per_char", "top")
-    if model.ratios.count() > settings.ship_rows:
+    if model.sent is None or model.ratios.count() > settings.ship_rows:
         return by_joins(df, model, text_col)
-    rows = model.ratios.toPandas()
-    shipped = df.sparkSession.sparkContext.broadcast((rows["key"].tolist(), rows["ratio"].to_numpy()))
+    shipped = model.sent
     lowered = next(name for name in (f"_lowered{i}" for i in range(len(df.columns) + 1)) if name not in df.columns)
     wide = df.withColumn(lowered, F.lower(text_or_empty(text_col)))
     schema = ", ".join([*(f"`{c.replace('`', '``')}` {t}" for c, t in df.dtypes), "per_char double", "top double"])
 
     def make():
         keys, values = shipped.value
-        ratio, find = Ratios(dict(zip(keys, values.tolist())), settings.order), re.compile(WORD).findall
+        ratio, find = Ratios(dict(zip(keys.to_pylist(), values.to_pylist())), settings.order), re.compile(WORD).findall
 
         def one(text: str) -> tuple[float, float]:
             words = find(text)

@@ -28,6 +28,7 @@ from tongueprint.llm.bpe import PIECES
 from tongueprint.llm.common import map_rows, text_or_empty
 
 RULES = ("start", "most", "share")
+COLUMNS = ("field", "section", "start", "end", "n_tokens", "n_crossing")
 
 
 @lru_cache(maxsize=2)
@@ -77,14 +78,15 @@ def section_tokens(
     Sections are the lines of each field, or whole fields; a line keeps its break, a field its separator. ``start`` and ``end`` count
     characters of the joined document, ``section`` from 0 within the field. Null and empty fields are one section
     that holds just their separator. Repeated rows and null ids each give rows of their own; columns that
-    are not named are ignored.
+    are not named are ignored. An id column named like one of the others is returned as that name with ``_id`` behind it.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     names = list(fields)
     kind = dict(df.dtypes)[id_col]
+    own = f"{id_col}_id" if id_col.lower() in COLUMNS else id_col
     picked = df.select(F.col(id_col).alias("id"), *[text_or_empty(c).cast("string").alias(f"f{i}") for i, c in enumerate(names)])
-    schema = f"`{id_col}` {kind}, field string, section int, start long, `end` long, n_tokens double, n_crossing long"
+    schema = f"`{own}` {kind}, field string, section int, start long, `end` long, n_tokens double, n_crossing long"
 
     def make():
         encoding, sizes = load(path)
@@ -116,7 +118,7 @@ def section_tokens(
                 [ids.take(pa.array(joined(owner, np.int64))), pa.array(field_of, pa.string()), pa.array(number, pa.int32()),
                  pa.array(joined(begins, np.int64)), pa.array(joined(finish, np.int64)), pa.array(joined(tokens, float)),
                  pa.array(joined(cross, np.int64))],
-                names=[id_col, "field", "section", "start", "end", "n_tokens", "n_crossing"],
+                names=[own, *COLUMNS],
             )
 
         return step

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +21,14 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_name(columns: Iterable[str], stem: str) -> str:
+    """``stem``, after as many underscores as it takes to be none of ``columns``; Spark does not tell case apart."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
 def sha(column: Column) -> Column:
     """Lower-case hex SHA-256 of a string's UTF-8 bytes."""
     return F.sha2(column, 256)

@@ -130,15 +130,19 @@ def range_sort(df: DataFrame, position_col: str = "position", *ties: str) -> Dat
     return df.repartitionByRange(workers(df), position_col, *ties).sortWithinPartitions(position_col, *ties)
 
 
-def copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", position_col: str = "position") -> DataFrame:
     """The mix as whole documents: each as many times as ``taken`` holds its size, the rest by a fair draw on the id.
 
     ``docs`` must have unique ids, one of which may be null. Documents drawn zero times go; a document taken twice stands twice. Repeats keep the
-    words of a source near its target on average, without cutting texts.
+    words of a source near its target on average, without cutting texts. All columns of ``docs`` stay, whatever their names;
+    ``position_col`` is added, or replaced where ``docs`` has it.
     """
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     count = (F.floor(times) + F.when(draw < times - F.floor(times), 1).otherwise(0)).cast("int")
-    wanted = mixed.select(F.col(id_col).alias("_id"), count.alias("_times"), "position").where("_times > 0")
-    out = docs.join(wanted, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).drop("_copy", "_times")
+    wanted = mixed.select(F.col(id_col).alias("id"), count.alias("times"), F.col("position").alias("at")).where("times > 0")
+    kept = docs if position_col == id_col else docs.drop(position_col)
+    # The columns of ``docs`` travel as one, so that no name of theirs can meet one of these.
+    rows = kept.select(F.struct("*").alias("doc"), F.col(id_col).alias("own"))
+    met = rows.join(wanted, F.col("own").eqNullSafe(F.col("id"))).select("doc", "at", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+    return met.select("doc.*", F.col("at").alias(position_col))

@@ -38,7 +38,8 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     cuts = suffixes.cut_texts(docs).select("key", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    return suffixes.attach(docs, cuts).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    has_repeat = (F.col("n_removed") > 0).alias("has_repeat")
+    return suffixes.attach(docs, cuts).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", has_repeat)
 
 
 @query("op3_quality")

@@ -376,6 +376,10 @@ def cut_texts(docs: DataFrame, text_col: str = "text", length: int = LENGTH) ->
 
 
 def attach(docs: DataFrame, cuts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Columns of ``cuts``, one row a distinct text, next to each row of ``docs`` in place of its text."""
-    rows = docs.withColumn("_key", key_of(text_col)).drop(text_col)
-    return rows.join(cuts, F.col("_key") == F.col("key")).drop("_key", "key")
+    """Columns of ``cuts``, one row a distinct text, next to each row of ``docs`` in place of its text.
+
+    A column of ``docs`` that has the name of one of these is replaced.
+    """
+    added = [c for c in cuts.columns if c != "key"]
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col and c.lower() not in added]).alias("doc"), key_of(text_col).alias("own"))
+    return rows.join(cuts, F.col("own") == F.col("key")).select("doc.*", *added)

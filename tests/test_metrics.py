@@ -59,6 +59,23 @@ def test_confusion_grid_by_hand(small):
     assert {(r["lang"], r["pred"]): r["n"] for r in cells}[("deu", "und")] == 1
 
 
+def test_confusion_grid_of_named_columns(small):
+    grid = metrics.confusion_grid(small, ["fra", "zzz"])
+    assert grid.columns == ["lang", "fra", "zzz"] and grid.count() == 3
+    assert all(r["zzz"] == 0 for r in grid.collect())
+
+
+def test_confusion_cells_of_many_labels(spark):
+    gold, said = 3, 5000
+    rows = [(f"g{i % gold}", f"p{i:05d}") for i in range(said)] + [("g0", "p00000"), (None, "p1"), ("g1", None)]
+    cells = metrics.confusion_cells(spark.createDataFrame(rows, PREDS))
+    assert "Pivot" not in cells._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r["lang"], r["pred"]): r["n"] for r in cells.collect()}
+    assert len(found) == gold * (said + gold)
+    assert found["g0", "p00000"] == 2 and found["g1", "p00000"] == 0 and sum(found.values()) == said + 1
+    assert metrics.confusion_cells(spark.createDataFrame([], PREDS)).count() == 0
+
+
 def test_missing_prediction_counts_as_a_miss(spark, codes):
     df = spark.createDataFrame([("eng", None), ("eng", "en")], PREDS)
     assert metrics.overall(df).first()[:2] == (2, 1)

@@ -56,6 +56,32 @@ def test_lines(spark, codes, folder):
     assert corpus.read_lines(spark, folder, codes, "de", drop_blank=False).count() == 11
 
 
+def test_lines_get_ids_by_place(spark, codes, folder):
+    def read(**more):
+        return corpus.read_lines(spark, folder, codes, "deu", id_col="row_id", **more)
+
+    first = sorted((r["row_id"], r["sentence"]) for r in read().collect())
+    assert first == sorted((r["row_id"], r["sentence"]) for r in read().collect()) and len({i for i, _ in first}) == 9
+    assert read(drop_blank=False).select("row_id").distinct().count() == 11
+    assert read().columns == ["row_id", "file", "sentence", "lang"]
+    assert "Exchange" not in read()._jdf.queryExecution().executedPlan().toString()
+    assert [r["sentence"] for r in corpus.read_lines(spark, f"{folder}/a*/*", codes, "deu", glob="tw*.txt").collect()] == ["drei"] * 5
+    assert read(glob="*.none").count() == 0
+
+
+def test_rows_get_ids_by_place(spark, codes, tmp_path):
+    rows = [(None, "en"), ("same", "en"), ("same", "en"), ("b", "fr")]
+    frame = spark.createDataFrame(rows, "body string, code string").repartition(2)
+    for fmt in ("parquet", "json", "orc"):
+        path = str(tmp_path / fmt)
+        frame.write.format(fmt).save(path)
+        df = corpus.read_corpus(spark, path, codes, "code", "body", fmt, id_col="row_id")
+        ids = [r["row_id"] for r in df.collect()]
+        assert len(set(ids)) == 4 and sorted(ids) == sorted(r["row_id"] for r in df.select("row_id", "lang").collect())
+    with pytest.raises(ValueError, match="Body"):
+        corpus.read_table(spark, path, "orc", id_col="Body")
+
+
 def test_copies_get_stable_ids(spark, codes, folder):
     def ids(parts):
         lines = corpus.read_lines(spark, folder, codes, "deu").repartition(parts)

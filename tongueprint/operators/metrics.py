@@ -96,28 +96,40 @@ def gold_counts(preds: DataFrame) -> DataFrame:
     return preds.where(F.col(LANG).isNotNull()).groupBy(LANG).agg(F.count("*").alias("support"))
 
 
-def confusion_grid(preds: DataFrame) -> DataFrame:
-    """Wide confusion table: a row per gold label, a column per gold or predicted label, zeros filled in.
+def _known_pairs(preds: DataFrame) -> DataFrame:
+    return materialize(pair_counts(preds).where(F.col(LANG).isNotNull() & F.col("pred").isNotNull()), "pairs")
 
-    Gold labels come first in the columns, then labels that were only predicted.
+
+def confusion_grid(preds: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Wide confusion table: a row per gold label, a column for each of ``columns``, zeros filled in.
+
+    Without ``columns`` every gold label gets one, then every label that was only predicted. Column names live on the
+    driver whatever is done, so with very many labels name the columns or take ``confusion_cells``.
     """
-    pairs = materialize(pair_counts(preds).where(F.col(LANG).isNotNull() & F.col("pred").isNotNull()), "pairs")
-    gold = _labels(pairs, LANG)
-    columns = gold + [label for label in _labels(pairs, "pred") if label not in set(gold)]
-    return pairs.groupBy(LANG).pivot("pred", columns).agg(F.sum("n")).na.fill(0)
+    pairs = _known_pairs(preds)
+    if columns is None:
+        gold = _labels(pairs, LANG)
+        columns = gold + [label for label in _labels(pairs, "pred") if label not in set(gold)]
+    return pairs.groupBy(LANG).pivot("pred", list(columns)).agg(F.sum("n")).na.fill(0)
 
 
-def confusion_cells(preds: DataFrame) -> DataFrame:
-    """The same grid in long form, ``(lang, pred, n)``, empty cells included."""
-    grid = confusion_grid(preds)
-    return grid.unpivot(LANG, [c for c in grid.columns if c != LANG], "pred", "n")
+def confusion_cells(preds: DataFrame, part: int = 1_000) -> DataFrame:
+    """The whole grid in long form, ``(lang, pred, n)``: a row per gold label and gold or predicted label, empty cells included.
+
+    Labels are a table: they are kept as lists of about ``part`` by hash, each gold label meets every list by its number,
+    and the counts are joined to the cells. No label reaches the driver.
+    """
+    pairs = _known_pairs(preds)
+    labels = materialize(pairs.select(F.col(LANG).alias("pred")).union(pairs.select("pred")).distinct(), "labels")
+    parts = max(1, -(-labels.count() // part))
+    lists = labels.groupBy(F.pmod(F.xxhash64("pred"), F.lit(parts)).alias("_part")).agg(F.collect_list("pred").alias("_labels"))
+    gold = pairs.select(LANG).distinct().withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    cells = gold.join(lists, "_part").select(LANG, F.explode("_labels").alias("pred"))
+    return cells.join(pairs, [LANG, "pred"], "left").select(LANG, "pred", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def _labels(pairs: DataFrame, column: str, limit: int = 20_000) -> list[str]:
-    labels = [r[0] for r in pairs.select(column).distinct().orderBy(column).limit(limit + 1).collect()]
-    if len(labels) > limit:
-        raise ValueError(f"more than {limit} labels in {column}")
-    return labels
+def _labels(pairs: DataFrame, column: str) -> list[str]:
+    return [r[0] for r in pairs.select(column).distinct().orderBy(column).collect()]
 
 
 def classification_report(preds: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:

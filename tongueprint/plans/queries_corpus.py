@@ -361,6 +361,39 @@ def raw_lines_with_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_lines(raw, "text", TEXT, ["row_id"]).groupBy("row_id").agg(F.count("*").alias("lines"))
 
 
+_SQL_ALL_LINES = rf"SELECT lang, unnest(regexp_split_to_array(coalesce(text, ''), '{LINE_BREAK}')) AS sentence FROM documents"
+
+
+@query("reader_keeps_blanks", f"SELECT sentence, 'spa' AS lang, count(*) AS copies FROM ({_SQL_ALL_LINES}) GROUP BY sentence")
+def reader_keeps_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files read with their blank lines, each line with an id by its place."""
+    folder = _folder(spark)
+    table(spark, sf_dir, "documents", "text").write.text(folder)
+    lines = read_lines(spark, folder, codes_of(spark), "es", drop_blank=False, id_col="row_id")
+    return lines.groupBy(TEXT, LANG).agg(F.count_distinct("row_id").alias("copies"))
+
+
+@query("reader_by_glob", f"""
+SELECT sentence, 'lad' AS lang, count(*) AS copies FROM ({_SQL_ALL_LINES})
+WHERE regexp_matches(lang, '^[de]') AND regexp_matches(sentence, '{NOT_WHITESPACE}') GROUP BY sentence
+""")
+def reader_by_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder of text files for each language, some of them chosen by a pattern."""
+    folder = _folder(spark)
+    table(spark, sf_dir, "documents", "lang", "text").write.partitionBy("lang").text(folder)
+    lines = read_lines(spark, f"{folder}/lang=[de]*", codes_of(spark), "Ladino", id_col="row_id")
+    return lines.groupBy(TEXT, LANG).agg(F.count_distinct("row_id").alias("copies"))
+
+
+@query("rows_by_place", "SELECT text AS sentence, count(*) AS copies FROM documents GROUP BY text")
+def rows_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table without a key: its rows get ids by file and place, the same at every read."""
+    read = lambda: read_table(spark, f"{sf_dir}/documents.parquet", id_col="place").select("place", F.col("text").alias(TEXT))
+    again = read().select("place", F.col(TEXT).alias("_again"))
+    same = read().join(again, "place").where(F.col(TEXT).eqNullSafe(F.col("_again")))
+    return same.groupBy(TEXT).agg(F.count_distinct("place").alias("copies"))
+
+
 @query("single_column_source", "SELECT text AS sentence, 'lad' AS lang FROM conversations")
 def single_column_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One text column of a table with another name, as a corpus of one language."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tongueprint.functions.text import LINE_BREAK, has_text
@@ -44,8 +44,24 @@ def constant_corpus(df: DataFrame, codes: CodeTable, language: str, text_col: st
     return rename_strict(df, {text_col: TEXT}).withColumn(LANG, F.lit(codes.resolve(language)))
 
 
-def read_table(spark: SparkSession, path: str | list[str], fmt: str = "parquet", schema: str | None = None, **options) -> DataFrame:
-    """One distributed read of parquet, json, orc or delimited files.
+def place_id(fmt: str) -> Column:
+    """Id of a row by its file and place, for a frame straight from a reader: nothing is hashed but the path, nothing moves.
+
+    In Parquet the place is the number of the row in its file, so ids are the same at every read. Other formats only know
+    where a block begins; there the place is the block and the row's number in its task, so ids are the same for the
+    same files, split settings and cores, also when a lost task is run again.
+    """
+    if fmt == "parquet":
+        place = [F.col("_metadata.row_index").cast("string")]
+    else:
+        place = [F.col("_metadata.file_block_start").cast("string"), F.monotonically_increasing_id().cast("string")]
+    return F.concat_ws(":", F.md5("_metadata.file_path"), *place)
+
+
+def read_table(
+    spark: SparkSession, path: str | list[str], fmt: str = "parquet", schema: str | None = None, id_col: str | None = None, **options
+) -> DataFrame:
+    """One distributed read of parquet, json, orc or delimited files; with ``id_col`` each row gets its ``place_id``.
 
     Delimited files keep the text ``nan`` as it is: it is the code of Min Nan Chinese, not a null.
     """
@@ -54,7 +70,12 @@ def read_table(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
     if fmt == "csv":
         options = {"header": True, **options}
     reader = spark.read.format(fmt).options(**options)
-    return (reader.schema(schema) if schema else reader).load(path)
+    df = (reader.schema(schema) if schema else reader).load(path)
+    if id_col is None:
+        return df
+    if id_col.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the files have a column {id_col} already")
+    return df.select(place_id(fmt).alias(id_col), "*")
 
 
 def read_benchmark(spark: SparkSession, path: str, codes: CodeTable, fmt: str = "parquet", **options) -> DataFrame:
@@ -89,16 +110,18 @@ def read_single_language(
 
 def read_lines(
     spark: SparkSession, path: str | list[str], codes: CodeTable, language: str,
-    drop_blank: bool = True, glob: str = "*.txt",
+    drop_blank: bool = True, glob: str = "*.txt", id_col: str | None = None,
 ) -> DataFrame:
     """Every line of every text file below ``path`` (globs allowed), labelled with one language.
 
-    Lines keep their own spaces. ``drop_blank=False`` keeps empty lines as rows.
+    Lines keep their own spaces. ``drop_blank=False`` keeps empty lines as rows. With ``id_col`` each line gets an id
+    by its file and place (``place_id``).
     """
-    raw = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-        .select(F.col("_metadata.file_path").alias("file"), F.explode(F.split("value", LINE_BREAK)).alias(TEXT))
-    )
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    own = [place_id("text").alias("_place")] if id_col else []
+    raw = files.select(F.col("_metadata.file_path").alias("file"), *own, F.posexplode(F.split("value", LINE_BREAK)).alias("_line", TEXT))
+    number = [F.concat_ws(":", "_place", F.col("_line").cast("string")).alias(id_col)] if id_col else []
+    raw = raw.select(*number, "file", TEXT)
     if drop_blank:
         raw = raw.where(has_text(F.col(TEXT)))
     return raw.withColumn(LANG, F.lit(codes.resolve(language)))

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tongueprint.functions.hashing import GramSpec
-from tongueprint.operators import linear, metrics, naive_bayes, sampling
+from tongueprint.operators import linear, metrics, naive_bayes, sampling, stacked
 from tongueprint.operators.prompts import run_label
 from tongueprint.operators.scorers import Scorer, with_predictions
 from tongueprint.session import materialize
@@ -157,20 +157,42 @@ class Sweep:
 
 
 def sweep(rows: DataFrame, scorers: Mapping[str, Scorer], codes: CodeTable, id_col: str = "row_id", keep: Sequence[str] = (LANG,)) -> Sweep:
-    """Run every model on the same rows. Each is written as it ends; one that fails is noted and skipped."""
+    """Run every model on the same rows: all naive Bayes models in one pass over the texts, any other one by itself.
+
+    Predictions are written as they end. A model that fails is noted and skipped; naive Bayes models that fail
+    together are tried again one by one, so that one of them does not take the others along.
+    """
     done: list[DataFrame] = []
     failures: list[tuple[str, str]] = []
-    for name, scorer in scorers.items():
+
+    def attempt(make: Callable[[], DataFrame]) -> str | None:
         try:
-            preds = metrics.normalize_predictions(scorer.predict(rows, id_col=id_col, keep=list(keep)), codes)
-            done.append(materialize(preds.withColumn("model", F.lit(name)), "sweep"))
+            done.append(materialize(metrics.normalize_predictions(make(), codes), "sweep"))
         except Exception as error:
-            failures.append((name, str(error).partition("\n")[0]))
-    stacked = done[0] if done else None
+            return str(error).partition("\n")[0] or type(error).__name__
+        return None
+
+    bayes = {name: scorer for name, scorer in scorers.items() if isinstance(scorer, naive_bayes.NaiveBayesModel)}
+    together = bool(bayes) and attempt(lambda: stacked.predict_many(bayes, rows, id_col, keep)) is None
+    for name, scorer in scorers.items():
+        if together and name in bayes:
+            continue
+        if error := attempt(lambda: scorer.predict(rows, id_col=id_col, keep=list(keep)).withColumn(stacked.MODEL, F.lit(name))):
+            failures.append((name, error))
+    predictions = done[0] if done else None
     for more in done[1:]:
-        stacked = stacked.unionByName(more)
-    return Sweep(stacked, failures)
+        predictions = predictions.unionByName(more)
+    return Sweep(predictions, failures)
 
 
 def failures_table(result: Sweep, rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame(result.failures, "model string, error string")
+
+
+def outcomes(result: Sweep, rows: DataFrame) -> DataFrame:
+    """``(model, n_rows, error)``: a row per model of the sweep; one that failed has no rows and its error."""
+    failed = failures_table(result, rows).select("model", F.lit(0).cast("long").alias("n_rows"), "error")
+    if result.predictions is None:
+        return failed
+    scored = result.predictions.groupBy("model").agg(F.count("*").alias("n_rows"))
+    return scored.select("model", "n_rows", F.lit(None).cast("string").alias("error")).unionByName(failed)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tongueprint.functions.hashing import GramSpec
-from tongueprint.operators import grams, linear, metrics, naive_bayes, sampling
+from tongueprint.operators import grams, linear, metrics, naive_bayes, sampling, stacked
 from tongueprint.operators.scorers import ProfileDetector, PythonScorer
 from tongueprint.plans import jobs
 from tongueprint.plans.catalog import (
@@ -252,11 +252,39 @@ def _sql_sweep() -> str:
 @query("nb_model_sweep", f"WITH {_sql_sweep()} {' UNION ALL '.join(sql_overall(f'{m}_preds', m) for m in SWEEP)}")
 def nb_model_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _split(spark, sf_dir)
-    models = {name: naive_bayes.fit(train, spec) for name, spec in SWEEP.items()}
-    result = jobs.sweep(test, models, codes_of(spark))
+    result = jobs.sweep(test, stacked.fit_many(train, SWEEP), codes_of(spark))
     return rounded(metrics.overall(result.predictions, ["model"]), "accuracy", "macro_f1")
 
 
+class WithoutWeights:
+    """A model whose weights are missing, as a sweep over many models meets it."""
+
+    name = "without-weights"
+
+    def predict(self, df: DataFrame, **_: object) -> DataFrame:
+        return df.withColumn("pred", F.raise_error(F.lit("the weights are missing")))
+
+
+@query("sweep_outcomes", f"""
+WITH {_SQL_SPLIT}, {sql_counts('bigrams', 'train_rows', SWEEP['bigrams'])}, {sql_predict('bigrams', 'test_rows', SWEEP['bigrams'])},
+{sql_counts('hashed', 'train_rows', HASHED)}, {sql_predict('hashed', 'test_rows', HASHED)}
+SELECT 'bigrams' AS model, lang, pred, count(*) AS n_rows, CAST(NULL AS BOOLEAN) AS failed FROM bigrams_preds GROUP BY ALL
+UNION ALL SELECT 'hashed', lang, pred, count(*), NULL FROM hashed_preds GROUP BY ALL
+UNION ALL SELECT 'without-weights', NULL, NULL, 0, true
+""")
+def sweep_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that models with grams and with buckets give, side by side, and the model that failed among them."""
+    train, test = _split(spark, sf_dir)
+    models = stacked.fit_many(train, {"bigrams": SWEEP["bigrams"], "hashed": HASHED})
+    result = jobs.sweep(test, {**models, "without-weights": WithoutWeights()}, codes_of(spark))
+    given = result.predictions.groupBy("model", LANG, "pred").agg(F.count("*").alias("n_rows"))
+    failed = jobs.outcomes(result, test).where("error IS NOT NULL")
+    none = F.lit(None).cast("string")
+    return given.withColumn("failed", F.lit(None).cast("boolean")).unionByName(
+        failed.select("model", none.alias(LANG), none.alias("pred"), "n_rows", F.col("error").contains("weights are missing").alias("failed"))
+    )
+
+
 @query("cross_domain_overall", f"""
 WITH {_SQL_SPLIT}, {SQL_PAGES}, {sql_counts('m', 'docs', HASHED)}, {sql_predict('m', 'page_docs', HASHED)}
 {sql_overall('m_preds', 'charngram-nb')}

@@ -262,7 +262,7 @@ class WithoutWeights:
     name = "without-weights"
 
     def predict(self, df: DataFrame, **_: object) -> DataFrame:
-        return df.withColumn("pred", F.raise_error(F.lit("the weights are missing")))
+        return df.withColumn("pred", F.raise_error(F.lit("the weights are missing")).cast("string"))
 
 
 @query("sweep_outcomes", f"""

@@ -122,3 +122,37 @@ def test_drop_blank_and_presence(spark, codes):
     assert sampling.drop_blank(df).count() == 1
     assert sampling.language_presence(df, "French", codes).first()[:] == ("fra", 2, False)
     assert sampling.language_presence(df, "lad", codes).first()[:] == ("lad", 0, True)
+
+
+@pytest.mark.parametrize("cell", [0, 3, 10**6])
+def test_cells_are_divided_until_they_fit(skewed, cell):
+    """Cuts by cells of one key, of a few and without any division are those of a plain sort."""
+    rows, df = skewed
+    sizes = [1, 7, F.ceil(F.col("total") / 3), 10**9]
+    cuts = {r["lang"]: r for r in sampling.rank_cuts(df, sizes, 4, "s", "row_id", ["lang"], cell).collect()}
+    by_lang = {}
+    for i, _, lang in rows:
+        by_lang.setdefault(lang, []).append(key(4, "s", i))
+    assert set(cuts) == set(by_lang)
+    for lang, keys in by_lang.items():
+        keys.sort()
+        for i, size in enumerate([1, 7, -(-len(keys) // 3), 10**9]):
+            assert tuple(cuts[lang][f"_cut{i}"]) == keys[min(size, len(keys)) - 1], (lang, i)
+
+
+def test_rows_of_one_id_are_one_key(spark):
+    """A third of the rows has one id, others have none: cuts do not divide such rows, and every row is kept or left whole."""
+    rows = [(7,)] * 400 + [(None,)] * 300 + [(i,) for i in range(100, 600)]
+    df = spark.createDataFrame(rows, "row_id bigint")
+    order = sorted((i for (i,) in rows if i is not None), key=lambda i: key(0, "s", i))
+    for size in (250, 500, 900, 1200):
+        for cell in (1, 10**6):
+            cut = sampling.rank_cuts(df, [size], 0, "s", "row_id", cell=cell).first()["_cut0"]
+            # Rows without an id come first.
+            assert tuple(cut) == ((None, None) if size <= 300 else key(0, "s", order[size - 301])), (size, cell)
+
+
+def test_as_many_groups_as_rows(spark):
+    df = spark.range(3000).select(F.col("id").alias("row_id"), F.col("id").cast("string").alias("lang"))
+    assert sampling.take_ranked(df, 1, 0, "s", "row_id", ["lang"]).count() == 3000
+    assert sampling.take_ranked(df.limit(0), 1, 0, "s", "row_id", ["lang"]).count() == 0

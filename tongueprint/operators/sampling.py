@@ -1,9 +1,10 @@
 """Sampling, splitting and holdout on one reproducible row order.
 
 Every operator orders rows by ``shuffle_key(seed, salt, row_id)``, ties by ``row_id``. Exact sizes
-come from a *rank cut*: the key of the k-th row of each group is found from a histogram of key
+come from a *rank cut*: the key of the k-th row of each group is found from histograms of key
 prefixes, and rows are then kept by comparing keys. The data is read three times (twice only the
-key columns), the wide rows are never shuffled or sorted, and no group lands in one task.
+key columns; once more for each division of a cell that is too large to rank), the wide rows are never sorted, nor shuffled
+while the groups are few, and no group lands in one task. The cuts are found at once and stored, so frames made from them do not find them again.
 """
 
 from __future__ import annotations
@@ -15,19 +16,28 @@ from pyspark.sql import functions as F
 
 from tongueprint.functions.hashing import key_fraction, shuffle_key
 from tongueprint.functions.text import has_text
+from tongueprint.session import materialize
 from tongueprint.sources.codes import CodeTable
 from tongueprint.sources.corpus import LANG, TEXT
 
 _PREFIX = 4  # hex digits: at most 65,536 histogram rows per group
+_DIGITS = 32
+# Rows of a cell up to which it is ranked; a larger one is divided by further digits of the key first.
+CELL = 200_000
 
 
 def rank_cuts(
-    df: DataFrame, sizes: Sequence[Column | int], seed: int, salt: str, id_col: str, group: Sequence[str] = ()
+    df: DataFrame, sizes: Sequence[Column | int], seed: int, salt: str, id_col: str, group: Sequence[str] = (), cell: int = CELL
 ) -> DataFrame:
-    """One row per group with ``_cut0, _cut1, ...``: the sort key of the row at each of the given ranks.
+    """One row per group with ``_cut0, _cut1, ...``: the sort key of the row at each of the given ranks, as a stored table.
 
     A size may use ``total``, the rows of the group. A rank beyond the group means its last row, and a
-    rank below 1 gives null. Groups are labels (ISO-639-3 codes, splits, flags), so this frame is small.
+    rank below 1 gives null. Groups may be of any kind and number: their stored tables are sent to every task only
+    while Spark finds the files small.
+
+    Radix selection: a histogram of key prefixes finds the cell of each rank, cells of more than ``cell`` rows are divided
+    by four more digits at a time, and at last the distinct keys of a cell are ranked by their counts, so rows of equal id
+    are one key, however many they are.
     """
     spare = "_all" if not group else None
     keys = df.select(
@@ -35,30 +45,56 @@ def rank_cuts(
         shuffle_key(seed, salt, id_col).alias("_key"), F.col(id_col).alias("_id"),
     )
     by = list(group) or [spare]
-    prefix = F.substring("_key", 1, _PREFIX)
-    histogram = keys.groupBy(*by, prefix.alias("_prefix")).agg(F.count("*").alias("_rows"))
-    upto = Window.partitionBy(*by).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
-    counted = (
-        histogram.withColumn("_upto", F.sum("_rows").over(upto))
-        .withColumn("total", F.sum("_rows").over(Window.partitionBy(*by)))
-        .withColumn("_before", F.col("_upto") - F.col("_rows"))
-    )
+    histogram = keys.groupBy(*by, _prefix(_PREFIX)).agg(F.count("*").alias("_rows"))
+    counted = _with_bounds(histogram, by, ["_prefix"]).withColumn("total", F.sum("_rows").over(Window.partitionBy(*by)))
     ranks = F.array(*[
-        F.struct(F.lit(i).alias("cut"), F.least(_as_column(size).cast("bigint"), F.col("total")).alias("rank"))
+        F.struct(F.lit(i).alias("_cut"), F.least(_as_column(size).cast("bigint"), F.col("total")).alias("_nth"))
         for i, size in enumerate(sizes)
     ])
-    wanted = (
-        counted.select(*by, "_prefix", "_before", "_upto", F.explode(ranks).alias("_want"))
-        .where((F.col("_want.rank") > F.col("_before")) & (F.col("_want.rank") <= F.col("_upto")))
-        .select(*by, "_prefix", F.col("_want.cut").alias("_cut"), (F.col("_want.rank") - F.col("_before")).alias("_nth"))
-    )
-    near = keys.withColumn("_prefix", prefix).join(F.broadcast(wanted), [*by, "_prefix"])
-    order = Window.partitionBy(*by, "_cut").orderBy("_key", "_id")
-    found = near.withColumn("_rn", F.row_number().over(order)).where("_rn = _nth")
+    cells = _stored_cells(counted.withColumn("_want", F.explode(ranks)).select(*by, "_prefix", "_rows", "_before", "_want.*"), by)
+    digits = _PREFIX
+    while digits < _DIGITS and (cells.agg(F.max("_rows")).first()[0] or 0) > cell:
+        inside = _inside(keys, cells, by, digits)
+        digits += _PREFIX
+        histogram = inside.groupBy(*by, "_cut", "_nth", _prefix(digits)).agg(F.count("*").alias("_rows"))
+        cells = _stored_cells(_with_bounds(histogram, [*by, "_cut"], ["_prefix"]), by)
+    distinct = _inside(keys, cells, by, digits).groupBy(*by, "_cut", "_nth", "_key", "_id").agg(F.count("*").alias("_rows"))
+    found = _holding(_with_bounds(distinct, [*by, "_cut"], ["_key", "_id"]))
     point = F.struct("_key", "_id")
-    return found.groupBy(*by).agg(
+    cuts = found.groupBy(*by).agg(
         *[F.max(F.when(F.col("_cut") == i, point)).alias(f"_cut{i}") for i in range(len(sizes))]
     )
+    return materialize(cuts, "rank-cuts")
+
+
+def _prefix(digits: int) -> Column:
+    return F.substring("_key", 1, digits).alias("_prefix")
+
+
+def _with_bounds(histogram: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Add ``_before``: the rows of all smaller entries of the group."""
+    upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return histogram.withColumn("_before", F.sum("_rows").over(upto) - F.col("_rows"))
+
+
+def _holding(counted: DataFrame) -> DataFrame:
+    """The entries in which the wanted rank lies."""
+    return counted.where((F.col("_nth") > F.col("_before")) & (F.col("_nth") <= F.col("_before") + F.col("_rows")))
+
+
+def _stored_cells(counted: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, _cut, _prefix, _rows, _nth)``: the cell of each rank, with its rows and the rank within it."""
+    nth = (F.col("_nth") - F.col("_before")).alias("_nth")
+    return materialize(_holding(counted).select(*by, "_cut", "_prefix", "_rows", nth), "rank-cells")
+
+
+def _inside(keys: DataFrame, cells: DataFrame, by: list[str], digits: int) -> DataFrame:
+    """The keys that lie in a cell, once for each rank in it. A null id has a null key, which is a cell of its own."""
+    wanted = cells.select(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(by)], F.col("_prefix").alias("_start"), "_cut", "_nth")
+    same = F.col("_prefix").eqNullSafe(F.col("_start"))
+    for i, name in enumerate(by):
+        same = same & (F.col(name) == F.col(f"_of{i}"))
+    return keys.select("*", _prefix(digits)).join(wanted, same).select(*by, "_key", "_id", "_cut", "_nth")
 
 
 def rank_segments(
@@ -71,7 +107,7 @@ def rank_segments(
     cuts = rank_cuts(df, sizes, seed, salt, id_col, group)
     names = [f"_cut{i}" for i in range(len(sizes))]
     if group:
-        ready = df.join(F.broadcast(cuts), list(group), "left")
+        ready = df.join(cuts, list(group), "left")
         for name in group:
             ready = ready.where(F.col(name).isNotNull())
         ready = ready.withColumn("_cuts", F.struct(*names))

@@ -11,8 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tongueprint.functions.counting import GramCounter, lowered, text_counts
 from tongueprint.functions.hashing import GramSpec
-from tongueprint.functions.text import WHITESPACE, explode_grams, explode_tokens
+from tongueprint.functions.text import explode_grams, explode_tokens
 from tongueprint.operators.lookup import BROADCAST_LIMIT
 from tongueprint.operators.naive_bayes import LABEL_BLOCK, NaiveBayesModel, _answers, _best_of_blocks, _decide, _label_array, class_rows
 from tongueprint.session import materialize
@@ -33,14 +34,10 @@ def feature_type(specs: Sequence[GramSpec]) -> str:
     return "bigint" if all(spec.buckets for spec in specs) else "string"
 
 
-def features(gram: Column, specs: Sequence[GramSpec], kind: str, nulls: bool = False) -> Column:
-    """``array<struct<_model, feature>>``: the features an n-gram makes, null where a model does not count it.
-
-    With ``nulls`` a null gram is one null feature of every model.
-    """
+def features(gram: Column, specs: Sequence[GramSpec], kind: str) -> Column:
+    """``array<struct<_model, feature>>``: the features an n-gram makes, null where a model does not count it."""
     def entry(place: int, spec: GramSpec) -> Column:
-        mine = belongs(gram, spec) | gram.isNull() if nulls else belongs(gram, spec)
-        return F.when(mine, F.struct(F.lit(place).alias("_model"), spec.feature(gram).cast(kind).alias("feature")))
+        return F.when(belongs(gram, spec), F.struct(F.lit(place).alias("_model"), spec.feature(gram).cast(kind).alias("feature")))
 
     return F.array(*[entry(place, spec) for place, spec in enumerate(specs)])
 
@@ -118,13 +115,13 @@ def _scored_together(
 
     keys = [id_col, *keep]
     text = [*keys, "_text"]
-    # A null word ahead of the others stands for the text itself: one per copy, also of texts without words.
-    words = F.concat(F.array(F.lit(None).cast("string")), F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), WHITESPACE))
-    tokens = df.select(*keys, F.xxhash64(text_col).alias("_text"), F.explode(words).alias("token"))
-    tokens = tokens.where(F.col("token").isNull() | (F.col("token") != ""))
-    grams = explode_grams(tokens, min(s.lo for s in specs), max(s.hi for s in specs), text, outer=True)
-    each = grams.select(*text, F.explode(features(F.col("gram"), specs, kind, nulls=True)).alias("_entry"))
-    each = each.where(F.col("_entry").isNotNull()).select(*text, "_entry.*")
+    # A null feature of each model stands for the text itself: one per copy, also of texts without words.
+    counts = text_counts(df.select(*keys, F.xxhash64(text_col).alias("_text"), lowered(text_col).alias("_lower")), specs, "_lower")
+    feature = F.col("feature")
+    for place, spec in enumerate(specs):
+        if spec.buckets and not GramCounter.hashes(spec):
+            feature = F.when(F.col("_model") == place, spec.feature(F.col("feature")).cast("string")).otherwise(feature)
+    each = counts.withColumn("feature", feature.cast(kind))
     joined = each.join(F.broadcast(gains), ["_model", "feature"], "left")
 
     own, size = [*text, "_model"], min(label_block, widest)
@@ -133,8 +130,8 @@ def _scored_together(
     hashed = F.col("_model").isin([k for k, spec in enumerate(specs) if spec.buckets])
     known = F.col("feature").isNotNull() & (hashed | F.col("gains").isNotNull())
     sums = joined.groupBy(*own, "_block").agg(
-        F.count_if(F.col("feature").isNull()).alias("_copies"), F.count_if(known).alias("_grams"),
-        *[F.coalesce(F.sum(F.get("gains", F.col("_block") * size + i)), F.lit(0.0)).alias(f"_s{i}") for i in range(size)],
+        F.count_if(F.col("feature").isNull()).alias("_copies"), F.sum(F.when(known, F.col("_tf")).otherwise(0)).alias("_grams"),
+        *[F.coalesce(F.sum(F.get("gains", F.col("_block") * size + i) * F.col("_tf")), F.lit(0.0)).alias(f"_s{i}") for i in range(size)],
     )
     sums = sums.select(*own, "_block", "_copies", "_grams", F.array(*[F.col(f"_s{i}") for i in range(size)]).alias("_gained"))
 

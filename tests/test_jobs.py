@@ -95,6 +95,15 @@ def test_linear_models_reach_the_optimum(spark, corpus):
             assert np.abs(found - w).max() < 0.1
 
 
+def test_many_blocks_need_few_rounds(corpus):
+    """The default tolerance of the logistic loss is met after a few rounds, although rows are dealt to several blocks."""
+    train = corpus.where("lang <> 'deu'").withColumn("label", F.col("lang"))
+    model = linear.train_logreg(train, lo=2, hi=3, block_entries=800, max_iter=8)
+    row = linear.optimality(model, "logistic").first()
+    assert row["in_range"] and row["weights_match"] and row["gradient"] <= 1e-4
+    assert model.solution.certificate[0][1] < 8
+
+
 def test_linear_models_keep_every_row(spark, corpus):
     model = linear.train_logreg(corpus.where("lang <> 'deu'").withColumn("label", F.col("lang")))
     odd = spark.createDataFrame([(1, "the cat", "a"), (1, "le chat", "a"), (1, "the cat", "a"), (None, None, "b"), (None, "", "b"), (2, "##", "c")], "row_id bigint, sentence string, lang string")

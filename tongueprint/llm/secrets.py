@@ -3,8 +3,9 @@
 Candidates are runs of key characters, at least ``SHORTEST`` long, that the patterns have not found as a whole. The network
 sees the candidate with the text before and behind it, as classes of characters; over a long one it slides in windows
 that overlap by half, and the highest score counts. It is an embedding, convolution, maximum
-over places, logistic output. It is written in numpy and trained on labelled findings in one task (their number is
-bounded). On findings it was not trained on, its output is calibrated (a logistic fit of label on output), and the
+over places, logistic output. It is written in numpy and trained on all labelled findings: a few thousand in one task; more
+are dealt to as many tasks as they need, which train side by side and whose networks are averaged after every round.
+On findings it was not trained on, its output is calibrated (a logistic fit of label on output), and the
 threshold is the highest one that still finds the demanded share of the true secrets among them, made ones and the patterns'
 own: it says nothing of other forms. Spans it adds are of kind ``model``;
 those of the patterns always stay.
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tongueprint.llm.common import map_rows, text_or_empty
+from tongueprint.session import materialize
 
 # The patterns of the contract with the shortest match (of group 2, if there is one) that counts.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -45,8 +47,16 @@ WIDTH, DEPTH, FILTERS = 5, 8, 16
 CLASSES = 96
 
 
+# Rounds after which networks trained side by side are averaged.
+ROUNDS = 4
+# Calibration counts outputs in bins of this width, up to this many on either side.
+BIN, BINS = 0.05, 1200
+
+
 @dataclass(frozen=True)
 class Training:
+    """``rows``: made findings a task adds, and about how many of the given ones it takes."""
+
     rows: int = 4_000
     epochs: int = 12
     rate: float = 0.01
@@ -162,28 +172,60 @@ def fit(windows: np.ndarray, labels: np.ndarray, training: Training) -> Scanner:
     draw = np.random.default_rng(training.seed)
     order = draw.permutation(len(labels))
     held, used = order[: len(order) // 5], order[len(order) // 5:]
-    network, step = Network(training.seed), 0
+    network = Network(training.seed)
+    descend(network, windows, labels, used, training.epochs, training.rate, draw)
+    logits = network.forward(windows[held])[0]
+    slope, shift = calibration(logits, labels[held], np.ones(len(held)))
+    scores = np.sort(logistic(slope * logits[labels[held] == 1] + shift))
+    missed = int(np.floor((1.0 - training.recall) * len(scores)))
+    threshold = float(scores[missed]) if len(scores) else 0.5
+    return Scanner(network, slope, shift, threshold, float(np.mean(scores >= threshold)) if len(scores) else None)
+
+
+def descend(
+    network: Network, windows: np.ndarray, labels: np.ndarray, used: np.ndarray, epochs: int, rate: float, draw: np.random.Generator
+) -> None:
+    """Epochs of Adam over the windows ``used``; the network changes in place."""
+    step = 0
     first = {k: np.zeros_like(v) for k, v in network.weights.items()}
     second = {k: np.zeros_like(v) for k, v in network.weights.items()}
-    for _ in range(training.epochs):
+    for _ in range(epochs):
         for start in range(0, len(used), 64):
             some, step = used[start:start + 64], step + 1
             for name, gradient in network.gradients(windows[some], labels[some]).items():
                 first[name] = 0.9 * first[name] + 0.1 * gradient
                 second[name] = 0.999 * second[name] + 0.001 * gradient**2
                 move = first[name] / (1 - 0.9**step) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
-                network.weights[name] = network.weights[name] - training.rate * move
+                network.weights[name] = network.weights[name] - rate * move
         used = draw.permutation(used)
-    logits = network.forward(windows[held])[0]
+
+
+def calibration(logits: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic fit of label on output, by plain gradient steps on two numbers."""
     slope, shift = 1.0, 0.0
-    for _ in range(200):  # logistic fit of label on output, by plain gradient steps on two numbers
-        error = logistic(slope * logits + shift) - labels[held]
-        slope -= 0.05 * float(np.mean(error * logits)) / max(1e-9, float(np.mean(logits**2)) ** 0.5)
-        shift -= 0.5 * float(np.mean(error))
-    scores = np.sort(logistic(slope * logits[labels[held] == 1] + shift))
-    missed = int(np.floor((1.0 - training.recall) * len(scores)))
-    threshold = float(scores[missed]) if len(scores) else 0.5
-    return Scanner(network, slope, shift, threshold, float(np.mean(scores >= threshold)) if len(scores) else None)
+    for _ in range(200):
+        error = logistic(slope * logits + shift) - labels
+        slope -= 0.05 * float(np.average(error * logits, weights=counts)) / max(1e-9, float(np.average(logits**2, weights=counts)) ** 0.5)
+        shift -= 0.5 * float(np.average(error, weights=counts))
+    return slope, shift
+
+
+def packed(network: Network) -> np.ndarray:
+    return np.concatenate([network.weights[n].ravel() for n in sorted(network.weights)])
+
+
+def unpacked(flat: np.ndarray, seed: int) -> Network:
+    network = Network(seed)
+    for name in sorted(network.weights):
+        size = network.weights[name].size
+        network.weights[name], flat = flat[:size].reshape(network.weights[name].shape), flat[size:]
+    return network
+
+
+def labelled(frame: pd.DataFrame) -> list[tuple[np.ndarray, int]]:
+    """The windows of given findings."""
+    cells = zip(frame["text"], frame["start"], frame["end"], frame["label"])
+    return [(window(t, a, b), int(y)) for t, s, e, y in cells for a, b in pieces(int(s), int(e))]
 
 
 def made_findings(count: int, seed: int) -> list[tuple[np.ndarray, int]]:
@@ -236,35 +278,85 @@ def made_findings(count: int, seed: int) -> list[tuple[np.ndarray, int]]:
 
 
 def train(training: Training = Training(), findings: DataFrame | None = None, spark=None) -> Scanner:
-    """Fit on made findings and, if given, on at most as many of ``findings (text, start, end, label)``."""
+    """Fit on made findings and, if given, on all of ``findings (text, start, end, label)``."""
     session = spark if spark is not None else findings.sparkSession
     given = findings if findings is not None else session.createDataFrame([], "text string, start int, `end` int, label int")
     usable = given.where("text is not null and start is not null and `end` is not null and label is not null and start < `end`")
-    near = usable.select("text", "start", "end", "label", F.xxhash64("text", "start").alias("at"))
-    first = near.orderBy("at", "text", "start", "end", "label").limit(training.rows)
+    near = materialize(usable.select("text", "start", "end", "label", F.xxhash64("text", "start").alias("at")), "findings")
+    parts = -(-near.count() // training.rows)
+    if parts > 1:
+        return train_in_parts(near, parts, training)
     # A row without text stands for the made findings, so that the one task runs without given ones too.
     alone = session.range(1).selectExpr("cast(null as string) text", "0 start", "0 as `end`", "0 label", "0L at")
-    sample = first.unionByName(alone).repartition(1).sortWithinPartitions("at", "text", "start", "end", "label")
+    whole = near.unionByName(alone).repartition(1).sortWithinPartitions("at", "text", "start", "end", "label")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = made_findings(training.rows, training.seed)
         for f in frames:
-            known = f[f["text"].notna()]
-            for t, s, e, y in zip(known["text"], known["start"], known["end"], known["label"]):
-                rows += [(window(t, a, b), int(y)) for a, b in pieces(int(s), int(e))]
+            rows += labelled(f[f["text"].notna()])
         scanner = fit(np.stack([w for w, _ in rows]), np.array([y for _, y in rows], dtype=float), training)
-        names = sorted(scanner.network.weights)
-        flat = np.concatenate([scanner.network.weights[n].ravel() for n in names])
+        flat = packed(scanner.network)
         yield pd.DataFrame({"flat": [flat], "slope": [scanner.slope], "shift": [scanner.shift], "threshold": [scanner.threshold], "recall": [scanner.recall]})
 
-    found = sample.mapInPandas(run, "flat array<double>, slope double, shift double, threshold double, recall double").first()
-    network, flat = Network(training.seed), np.asarray(found["flat"])
-    for name in sorted(network.weights):
-        size = network.weights[name].size
-        network.weights[name], flat = flat[:size].reshape(network.weights[name].shape), flat[size:]
+    found = whole.mapInPandas(run, "flat array<double>, slope double, shift double, threshold double, recall double").first()
+    network = unpacked(np.asarray(found["flat"]), training.seed)
     return Scanner(network, found["slope"], found["shift"], found["threshold"], found["recall"])
 
 
+def train_in_parts(near: DataFrame, parts: int, training: Training) -> Scanner:
+    """The same over any number of findings: every part adds made findings of its own and holds out a fifth.
+
+    Each round starts all parts from one network and averages theirs by the windows they were trained on. Calibration counts the held-out
+    outputs of all parts in bins; the threshold is taken from the outputs themselves.
+    """
+    # Dealt in turn, so that copies of one finding do not meet in one part; written, so that the parts stay.
+    dealt = materialize(near.repartition(parts).withColumn("part", F.spark_partition_id()), "findings-dealt")
+    # A count of its own keeps small parts from being put into one task.
+    by_part = dealt.repartition(4 * parts, "part").groupBy("part")
+
+    def share(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        part = int(frame["part"].iloc[0])
+        rows = made_findings(training.rows, training.seed + part) + labelled(frame.sort_values(["at", "text", "start", "end", "label"]))
+        order = np.random.default_rng([training.seed, part]).permutation(len(rows))
+        held, used = order[: len(order) // 5], order[len(order) // 5:]
+        return np.stack([w for w, _ in rows]), np.array([y for _, y in rows], dtype=float), held, used, part
+
+    def trained(flat: np.ndarray, turn: int, epochs: int):
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            windows, labels, _, used, part = share(frame)
+            network, draw = unpacked(flat, training.seed), np.random.default_rng([training.seed, part, turn])
+            descend(network, windows, labels, draw.permutation(used), epochs, training.rate, draw)
+            return pd.DataFrame({"flat": [packed(network)], "n": [len(used)]})
+
+        return run
+
+    flat, rounds = packed(Network(training.seed)), max(1, min(ROUNDS, training.epochs))
+    for turn in range(rounds):
+        epochs = training.epochs // rounds + (turn < training.epochs % rounds)
+        networks = by_part.applyInPandas(trained(flat, turn, epochs), "flat array<double>, n bigint")
+        each = networks.select("n", F.posexplode("flat").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
+        flat = np.array([r["x"] for r in each.orderBy("i").collect()])
+
+    def outputs(frame: pd.DataFrame) -> pd.DataFrame:
+        windows, labels, held, *_ = share(frame)
+        network = unpacked(flat, training.seed)
+        logits = [network.forward(windows[held[i:i + 1024]])[0] for i in range(0, len(held), 1024)]
+        return pd.DataFrame({"logit": np.concatenate([*logits, np.zeros(0)]), "label": labels[held].astype(int)})
+
+    held = materialize(by_part.applyInPandas(outputs, "logit double, label int"), "findings-held")
+    place = F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(F.col("logit") / BIN)))
+    bins = held.groupBy(place.alias("place"), "label").agg(F.avg("logit").alias("logit"), F.count("*").alias("n")).orderBy("place", "label").collect()
+    slope, shift = calibration(*(np.array([float(r[c]) for r in bins]) for c in ("logit", "label", "n")))
+    scores = held.where("label = 1").select((F.col("logit") * (-1 if slope < 0 else 1)).alias("x"))
+    true = sum(r["n"] for r in bins if r["label"] == 1)
+    missed = int(np.floor((1.0 - training.recall) * true))
+    least = scores.orderBy("x").limit(missed + 1).agg(F.max("x")).first()[0]
+    if least is None:
+        return Scanner(unpacked(flat, training.seed), slope, shift, 0.5, None)
+    kept = scores.where(F.col("x") >= least).count()
+    return Scanner(unpacked(flat, training.seed), slope, shift, float(logistic(abs(slope) * least + shift)), kept / true)
+
+
 def weak_findings(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(text, start, end, label)`` from a corpus: assigned and access keys as secrets, mail addresses as none.
 

@@ -2,9 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tongueprint.functions.hashing import GramSpec
-from tongueprint.operators import linear, metrics, naive_bayes, prompts
+from tongueprint.operators import dual, linear, metrics, naive_bayes, prompts
 from tongueprint.operators.scorers import ProfileDetector, PythonScorer
 from tongueprint.plans import jobs
+from tongueprint.session import materialize
 from tongueprint.sources import runs
 
 WORDS = {"eng": "the cat and the dog", "fra": "le chat et le chien", "deu": "der hund und die katze"}
@@ -104,6 +105,32 @@ def test_many_blocks_need_few_rounds(corpus):
     assert model.solution.certificate[0][1] < 8
 
 
+def test_hinge_loss_needs_few_rounds_with_many_blocks(spark):
+    """Rows beyond their margin are left out after the first round; the gap and the dual variables are still those of all rows."""
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    true, rows = draw.normal(size=20), []
+    for i in range(600):
+        ids, xs = np.sort(draw.choice(20, 6, replace=False)), draw.normal(size=6)
+        rows.append((i, int(xs @ true[ids] > 0), 1.0, ids.tolist(), (xs / np.linalg.norm(xs)).tolist()))
+    table = spark.createDataFrame(rows, "row_no long, label int, weight double, ids array<bigint>, xs array<double>").repartition(4)
+    found = dual.solve(materialize(table, "hinge-rows"), 2, "hinge", 1e-5, 600, 1e-4, 8, block_entries=600)
+    w, a = np.zeros(20), np.zeros(600)
+    for r in found.weights.collect():
+        w[r["feature_id"]] = r["w"][0]
+    duals = found.duals.collect()
+    for r in duals:
+        a[r["row_no"]] = r["a"][0]
+    assert len(duals) == 600 and a.min() >= 0 and a.max() <= 1
+    y, x = np.array([1.0 if r[1] else -1.0 for r in rows]), np.zeros((600, 20))
+    for i, r in enumerate(rows):
+        x[i, r[3]] = r[4]
+    assert np.abs((a * y) @ x / (1e-5 * 600) - w).max() < 1e-6
+    gap = 1e-5 * (w @ w) + np.maximum(0.0, 1 - y * (x @ w)).mean() - a.mean()
+    assert -1e-12 <= gap <= 1e-4 and gap == pytest.approx(found.certificate[0][4], abs=1e-9)
+
+
 def test_linear_models_keep_every_row(spark, corpus):
     model = linear.train_logreg(corpus.where("lang <> 'deu'").withColumn("label", F.col("lang")))
     odd = spark.createDataFrame([(1, "the cat", "a"), (1, "le chat", "a"), (1, "the cat", "a"), (None, None, "b"), (None, "", "b"), (2, "##", "c")], "row_id bigint, sentence string, lang string")

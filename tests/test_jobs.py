@@ -2,9 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tongueprint.functions.hashing import GramSpec
-from tongueprint.operators import dual, linear, metrics, naive_bayes, prompts
+from tongueprint.operators import dual, linear, metrics, naive_bayes, prompts, stacked
 from tongueprint.operators.scorers import ProfileDetector, PythonScorer
-from tongueprint.plans import jobs
+from tongueprint.plans import jobs, queries_models
 from tongueprint.session import materialize
 from tongueprint.sources import runs
 
@@ -188,6 +188,28 @@ def test_sweep_notes_failures(spark, codes, corpus):
     assert metrics.overall(result.predictions, ["model"]).first()[:] == ("nb", 36, 3, 1.0, 1.0)
 
 
+def test_nb_model_sweep_fails_with_a_model(spark, tmp_path, monkeypatch):
+    rows = [(i, lang, f"{text} number {i}") for i in range(40) for lang, text in (("eng", "the cat sat"), ("deu", "der Hund ist da"))]
+    spark.createDataFrame([(2 * i + (lang == "deu"), lang, text) for i, lang, text in rows], "doc_id long, lang string, text string").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    assert {r["model"] for r in queries_models.nb_model_sweep(spark, str(tmp_path)).collect()} == set(queries_models.SWEEP)
+    predict = naive_bayes.NaiveBayesModel.predict
+
+    def broken(self, *args, **settings):
+        if self.name == "trigrams":
+            raise RuntimeError("no room left")
+        return predict(self, *args, **settings)
+
+    def fails(*_, **__):
+        raise RuntimeError("not together")
+
+    monkeypatch.setattr(naive_bayes.NaiveBayesModel, "predict", broken)
+    monkeypatch.setattr(stacked, "predict_many", fails)
+    with pytest.raises(RuntimeError, match="trigrams: no room left"):
+        queries_models.nb_model_sweep(spark, str(tmp_path))
+
+
 def test_python_scorer_isolates_failures(spark, corpus):
     def load():
         def run(texts):

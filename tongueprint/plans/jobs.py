@@ -155,6 +155,12 @@ class Sweep:
     predictions: DataFrame | None
     failures: list[tuple[str, str]]
 
+    def whole(self) -> DataFrame:
+        """The predictions, if no model failed; a sweep that lacks a model is an error here, which names each with its cause."""
+        if self.failures or self.predictions is None:
+            raise RuntimeError("; ".join(["models of the sweep failed", *(f"{name}: {error}" for name, error in self.failures)]))
+        return self.predictions
+
 
 def sweep(rows: DataFrame, scorers: Mapping[str, Scorer], codes: CodeTable, id_col: str = "row_id", keep: Sequence[str] = (LANG,)) -> Sweep:
     """Run every model on the same rows: all naive Bayes models in one pass over the texts, any other one by itself.

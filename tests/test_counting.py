@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tongueprint.functions import counting
 from tongueprint.functions.hashing import GramSpec
 from tongueprint.operators import grams, naive_bayes
+from tongueprint.plans.catalog import rounded_doubles
 
 
 def plain(text, lo, hi):
@@ -71,6 +72,41 @@ def test_weights_are_the_same_however_values_are_looked_up(spark, limit):
     assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-9 for k in wanted)
 
 
+def test_weights_are_made_where_texts_are_counted(spark):
+    draw = random.Random(7)
+    texts = [(i, " ".join(draw.choice(["ab", "abc", "\u00e9t\u00e9", "\U00020000b", "zz\x00"]) for _ in range(draw.choice([0, 3, 40])))) for i in range(60)]
+    texts += [(3, "ab zz"), (None, "ab"), (None, "abc ab"), (61, None), (62, " ".join(f"w{draw.randrange(3000)}" for _ in range(120_000)))]
+    df = spark.createDataFrame(texts, "row_id long, sentence string").repartition(3)
+    spec = GramSpec(2, 5, None)
+    made = grams.tfidf(df, spec)
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    by_join = {(r["row_id"], r["feature"]): r for r in grams.tfidf(df, spec, limit=2000).collect()}
+    found = {(r["row_id"], r["feature"]): r for r in made.collect()}
+    assert found.keys() == by_join.keys() and made.count() == len(found)
+    assert all(r["tf"] == by_join[k]["tf"] and abs(r["weight"] - by_join[k]["weight"]) < 1e-12 for k, r in found.items())
+    largest = {(r["row_id"], r["feature"]): r["weight"] for r in grams.tfidf(df, spec, most=2).collect()}
+    for i in {i for i, _ in found}:
+        own = sorted((round(r["weight"], 6) for (j, _), r in found.items() if j == i), reverse=True)
+        due = {k for k, r in found.items() if k[0] == i and round(r["weight"], 6) >= own[min(1, len(own) - 1)]}
+        assert due <= {k for k in largest if k[0] == i}
+    assert all(largest[k] == found[k]["weight"] for k in largest) and len(largest) < len(found)
+
+
+def test_too_many_letters_are_looked_up_by_joins(spark):
+    many = "".join(chr(0x4E00 + i) for i in range(5000))
+    df = spark.createDataFrame([(1, many), (2, many), (3, "a b")], "row_id long, sentence string")
+    kept = grams.document_counts(df, GramSpec(2, 5, None), "row_id").where("df > 1")
+    assert grams.sent_vocabulary(kept.withColumn("v", F.lit(1.0)), "v", GramSpec(2, 5, None), 2**28) is None
+    assert grams.tfidf(df, GramSpec(2, 5, None)).count() == 2 * kept.count()
+
+
+def test_rounding_is_that_of_spark(spark):
+    values = [0.5, 1.0, 0.1234565, 0.12345650000000001, 2.5e-07, 5e-07, -5e-07, -0.3333335, 1 / 3, 1e12 + 0.3, 1e300, float("nan"), None, 0.0, -1e-9, 4503599627.3704955]
+    df = spark.createDataFrame([(v,) for v in values] + [(random.Random(i).random(),) for i in range(2000)], "x double")
+    both = df.select(F.round("x", 6).alias("a"), "x").transform(lambda d: rounded_doubles(d, "x"))
+    assert both.where(~F.col("a").eqNullSafe(F.col("x"))).count() == 0
+
+
 def test_scoring_sends_no_occurrence_through_the_plan(spark):
     df = spark.createDataFrame([(1, "ab " * 500, "eng"), (2, "cd " * 500, "fra")], "row_id long, sentence string, lang string")
     model = naive_bayes.fit(df, GramSpec(portable=True))
